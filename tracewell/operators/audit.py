@@ -199,7 +199,7 @@ def run_events(events: DataFrame, log: DataFrame) -> DataFrame:
     return spread_join(events, identity, ["execution_id"], "inner")
 
 
-def attempt_history(log: DataFrame, order: tuple[str, ...] = ("attempt_number", "execution_id")) -> DataFrame:
+def attempt_history(log: DataFrame, order: tuple[str, ...] = ("attempt_number", "execution_id"), page: int = 1000) -> DataFrame:
     """Per correlation id the text ``attempt:status:written:message`` of its attempts, in order."""
     entry = F.concat_ws(
         ":",
@@ -208,18 +208,22 @@ def attempt_history(log: DataFrame, order: tuple[str, ...] = ("attempt_number",
         F.col("records_written").cast("string"),
         F.coalesce("error_message", F.lit("")),
     )
-    return _joined_text(log.withColumn("_entry", entry), order, "attempt_history")
+    return _joined_text(log.withColumn("_entry", entry), order, "attempt_history", page)
 
 
-def event_sequence(events: DataFrame, order: tuple[str, ...] = ("event_at", "change_no")) -> DataFrame:
+def event_sequence(events: DataFrame, order: tuple[str, ...] = ("event_at", "change_no"), page: int = 1000) -> DataFrame:
     """Per correlation id the event types in order."""
-    return _joined_text(events.withColumn("_entry", F.col("event_type")), order, "event_sequence")
+    return _joined_text(events.withColumn("_entry", F.col("event_type")), order, "event_sequence", page)
 
 
-def _joined_text(df: DataFrame, order: tuple[str, ...], out: str) -> DataFrame:
-    """One text per correlation id; its size is the result's own, the attempts of one run."""
-    entries = F.array_sort(F.collect_list(F.struct(*order, "_entry")))
-    return df.groupBy("correlation_id").agg(F.array_join(F.transform(entries, lambda e: e["_entry"]), ",").alias(out))
+def _joined_text(df: DataFrame, order: tuple[str, ...], out: str, page: int) -> DataFrame:
+    """One text per correlation id, continued on further pages where a run has more entries than fit one."""
+    numbered = running(df.select("correlation_id", *order, "_entry"), ["correlation_id"], order, {"_nth": ("row_number",)})
+    entries = F.array_sort(F.collect_list(F.struct("_nth", "_entry")))
+    return (
+        numbered.groupBy("correlation_id", F.floor((F.col("_nth") - 1) / page).alias("page"))
+        .agg(F.array_join(F.transform(entries, lambda e: e["_entry"]), ",").alias(out))
+    )
 
 
 def load_summary(target: DataFrame, log: DataFrame, on: list[str]) -> DataFrame:

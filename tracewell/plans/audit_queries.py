@@ -135,7 +135,7 @@ def run_events(spark, sf):
 
 @query(
     with_sql(LOG_SQL, CHANGES_SQL, EVENTS_SQL)
-    + """SELECT correlation_id, string_agg(event_type, ',' ORDER BY changed_at, execution_id, change_no) AS event_sequence
+    + """SELECT correlation_id, 0 AS page, string_agg(event_type, ',' ORDER BY changed_at, execution_id, change_no) AS event_sequence
  FROM lifecycle GROUP BY correlation_id"""
 )
 def event_sequence(spark, sf):
@@ -146,7 +146,7 @@ def event_sequence(spark, sf):
 
 @query(
     with_sql(LOG_SQL)
-    + """SELECT correlation_id, string_agg(attempt_number || ':' || status || ':' || records_written || ':' ||
+    + """SELECT correlation_id, 0 AS page, string_agg(attempt_number || ':' || status || ':' || records_written || ':' ||
  coalesce(error_message, ''), ',' ORDER BY attempt_number, execution_id) AS attempt_history FROM exec_log GROUP BY 1"""
 )
 def attempt_history(spark, sf):
