@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tracewell.plans import audit_queries, lineage_queries, observability_queries, step_queries
+from tracewell.plans import (
+    audit_queries,
+    lineage_queries,
+    migration_queries,
+    observability_queries,
+    step_queries,
+)
 
-MODULES = [step_queries, audit_queries, observability_queries, lineage_queries]
+MODULES = [step_queries, audit_queries, observability_queries, lineage_queries, migration_queries]
 
 QUERIES, ORACLES = {}, {}
 for _module in MODULES:

@@ -7,8 +7,9 @@ file yields an ``error`` item instead of failing the corpus.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracewell.functions.text import qualified_name, sql_tables
@@ -140,8 +141,21 @@ def _loc(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+@lru_cache(maxsize=None)
+def _absent(_app: str, name: str, dtype: str) -> Column:
+    return F.lit(None).cast(dtype).alias(name)
+
+
 def _record(types: dict[str, str], values: dict[str, Column]) -> Column:
-    return F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+    app = SparkContext.getOrCreate().applicationId
+    return F.struct(*[values[n].alias(n) if n in values else _absent(app, n, t) for n, t in types.items()])
+
+
+@lru_cache(maxsize=None)
+def _expressions(_app: str) -> dict[str, Column]:
+    """The document and item columns; they name columns only, so one set serves every corpus of a session."""
+    docs = {"hop": _hop_doc, "ktr": _ktr_doc, "kjb": _kjb_doc, "json": _json_doc}
+    return {**{f: build(F.col(f"_{f}")) for f, build in docs.items()}, "items": _items()}
 
 
 # One shape for all formats: each leaf is cleaned once here, and items are built from the cleaned leaves.
@@ -475,6 +489,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
     The file text leaves the plan before the rows multiply.
     """
     fmt, text = F.col("fmt"), F.col("content")
+    built = _expressions(artifacts.sparkSession.sparkContext.applicationId)
     bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     blocks = F.regexp_extract_all(bare, F.lit(r"(?s)(<variables(?:\s[^>]*)?>.*?</variables>)"), 1)
     is_xml = fmt.isin("hop", "ktr", "kjb")
@@ -516,10 +531,10 @@ def extract(artifacts: DataFrame) -> DataFrame:
         .alias("_name"),
         _named(_inner(F.col("_vars.variables"), "variable"), _variable).alias("_variables"),
         F.when(F.col("error").isNotNull(), F.lit(None))
-        .when(fmt == "hop", _hop_doc(F.col("_hop")))
-        .when(fmt == "ktr", _ktr_doc(F.col("_ktr")))
-        .when(fmt == "kjb", _kjb_doc(F.col("_kjb")))
-        .otherwise(_json_doc(F.col("_json")))
+        .when(fmt == "hop", built["hop"])
+        .when(fmt == "ktr", built["ktr"])
+        .when(fmt == "kjb", built["kjb"])
+        .otherwise(built["json"])
         .alias("_doc"),
     )
     keyed = cleaned.withColumns(
@@ -528,7 +543,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
             "_table_keys": F.transform("_doc.steps", lambda s: F.concat(s["qualified"], F.lit("\n"), s["role"])),
         }
     )
-    listed = keyed.select("artifact_id", "path", "fmt", _items().alias("_items"))
+    listed = keyed.select("artifact_id", "path", "fmt", built["items"].alias("_items"))
     # Every document has at least one item. The outer form only keeps the optimizer from testing the array for
     # emptiness below the projections, which would parse each document once more.
     sql_at = F.array_compact(F.transform("_items", lambda x, i: F.when(x["kind"] == "sql", i)))
