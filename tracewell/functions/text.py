@@ -17,12 +17,17 @@ SQL_LITERAL = r"'[^']*+(?:''[^']*+)*'"
 SQL_TABLE = r"(?i)\b(?:from|join)\s+([A-Za-z0-9_$\{\}.]+)"
 ERROR_LIMIT = 1000
 
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _ANY_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip_space(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def redact_sql_literals(text: Column) -> Column:

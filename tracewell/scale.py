@@ -27,11 +27,18 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+    sized_by: tuple[DataFrame, Sequence[str], int] | None = None,
 ) -> DataFrame:
     """Equi join in which ``right`` holds each key at most once and hot keys of ``left`` are split.
 
-    The keys of ``left`` are counted first. When none is hot this is a plain join. Otherwise left rows of a hot
+    The keys of ``left`` are counted first. When none is hot this is a plain join. Where ``left`` is costly to
+    compute, ``sized_by`` may name a cheaper table, coarser keys and the left rows expected per row of it; only
+    when that table shows a key that could be hot is ``left`` itself counted. Otherwise left rows of a hot
     key go to several partitions by row hash, and only the matching right rows are copied. At most rows/hot_rows
     keys can be hot, which bounds the table that is broadcast to mark them. Rows with a null key never match and
     are spread as well, so that they do not pile up in one task.
@@ -39,6 +46,10 @@ def spread_join(
     on = list(on)
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how} join")
+    if sized_by is not None:
+        table, keys, fanout = sized_by
+        if largest_group(table, keys)[0] * fanout <= hot_rows:
+            return left.join(right, on, how)
     if largest_group(left, on)[0] <= hot_rows:
         return left.join(right, on, how)
     hot = F.broadcast(

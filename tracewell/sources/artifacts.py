@@ -12,7 +12,7 @@ from functools import lru_cache, reduce
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewell.functions.text import qualified_name, sql_tables
+from tracewell.functions.text import qualified_name, sql_tables, strip_space
 from tracewell.operators.keyed import ordinal
 
 # Suffix -> format, document kinds, defaults, classification names.
@@ -21,11 +21,6 @@ PUBLIC_FORMAT = {"ktr": "pentaho-xml", "kjb": "pentaho-xml", "hop": "xml", "json
 STRUCTURAL = "structural"
 FROM_SQL = "inferred-deterministic-sql-reference"
 PIPELINE_ENTRY_TYPES = ["TRANS", "JOB", "PIPELINE", "WORKFLOW"]
-WHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
-    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-)
-
 ITEM_FIELDS = {
     "kind": "string", "locator": "string", "value": "string", "step_id": "string", "name": "string",
     "type": "string", "description": "string", "connection": "string", "schema_name": "string",
@@ -109,13 +104,9 @@ def classify_role(step_type: Column, fmt: Column, explicit: Column | None = None
     return F.when(fmt == "hop", hop).when(fmt == "json", legacy).otherwise(pentaho)
 
 
-def _strip(value: Column) -> Column:
-    return F.btrim(value, F.lit(WHITE_SPACE))
-
-
 def _text(value: Column, default: Column | str = "") -> Column:
     """Stripped element text; the default stands for an absent element, not for an empty one."""
-    return F.coalesce(_strip(value), F.lit(default) if isinstance(default, str) else default)
+    return F.coalesce(strip_space(value), F.lit(default) if isinstance(default, str) else default)
 
 
 def _filled(*values: Column) -> Column:
@@ -322,7 +313,7 @@ def _json_doc(p: Column) -> Column:
             "description": F.coalesce(s["description"], F.lit("")), "connection": s["connection"],
             "schema_name": s["schema"], "table_name": s["table"], "qualified": table,
             "role": F.when(table.isNotNull(), classify_role(stype, F.lit("json"), s["role"])),
-            "sql": F.when(_strip(sql) != "", sql), "fields": _fields(s["fields"], field),
+            "sql": F.when(strip_space(sql) != "", sql), "fields": _fields(s["fields"], field),
         }
         return _record(STEP_FIELDS, values)
 
@@ -521,7 +512,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
         }
     )
 
-    from_info = F.coalesce(_strip(F.coalesce(F.col("_hop.info.name"), F.col("_ktr.info.name"))), F.col("stem"))
+    from_info = F.coalesce(strip_space(F.coalesce(F.col("_hop.info.name"), F.col("_ktr.info.name"))), F.col("stem"))
     job_name = F.coalesce(_filled(_text(F.col("_kjb.name"))), _text(F.col("_kjb.info.name"), F.col("stem")))
     cleaned = checked.select(
         "artifact_id", "path", "fmt", "source_sha256", "error", "_root", "_json",
@@ -547,8 +538,10 @@ def extract(artifacts: DataFrame) -> DataFrame:
     # Every document has at least one item. The outer form only keeps the optimizer from testing the array for
     # emptiness below the projections, which would parse each document once more.
     sql_at = F.array_compact(F.transform("_items", lambda x, i: F.when(x["kind"] == "sql", i)))
+    digest = F.sha2(F.to_json("_items"), 256)
     return listed.select(
-        "artifact_id", "path", "fmt", sql_at.alias("_sql_at"), F.posexplode_outer("_items").alias("position", "_i")
+        "artifact_id", "path", "fmt", sql_at.alias("_sql_at"), digest.alias("_digest"),
+        F.posexplode_outer("_items").alias("position", "_i"),
     ).select(
         "artifact_id",
         "path",
@@ -556,6 +549,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
         "position",
         F.when(F.col("_i.kind") != "error", ordinal("ev", F.col("position") + 1)).alias("evidence_id"),
         F.when(F.col("_i.kind") == "sql", ordinal("sql", F.array_position("_sql_at", F.col("position")))).alias("sql_id"),
+        F.when((F.col("position") == 0) & (F.col("_i.kind") != "error"), F.col("_digest")).alias("truth_digest"),
         "_i.*",
     )
 
@@ -590,7 +584,7 @@ def metadata_tables(items: DataFrame) -> dict[str, DataFrame]:
     return {
         "pipelines": of("pipeline").select(
             *key, F.col("name").alias("id"), "name", F.col("type").alias("kind"), public[F.col("fmt")].alias("format"),
-            F.col("path").alias("source_path"), "source_sha256", "description", refs,
+            F.col("path").alias("source_path"), "source_sha256", "truth_digest", "description", refs,
         ),
         "steps": pick("step", "step_id", "name", "type", "description", "connection", "schema_name", "table_name"),
         "hops": pick("hop", "from_name", "to_name", "enabled"),
