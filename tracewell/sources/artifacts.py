@@ -63,7 +63,10 @@ _XML = {"columnNameOfCorruptRecord": "_bad", "ignoreSurroundingSpaces": "false"}
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Definition files under ``path`` with format, text and digest of the raw bytes."""
+    """Definition files under ``path`` with format, text and digest of the raw bytes.
+
+    Spark leaves files of zero bytes out of a scan, so those do not show up as errors.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return route_artifacts(
         files.select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("source_sha256"))
