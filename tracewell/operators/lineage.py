@@ -128,7 +128,7 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_00
     folder = work_path(spark, "reachable")
     links = f"{folder}/links"
     edges.select("artifact_id", F.col("from_id").alias("node"), F.col("to_id").alias("_next")).distinct().write.parquet(links)
-    links_df = spark.read.parquet(links)
+    by_node = spark.read.parquet(links)
     first = starts.select("artifact_id", F.col("step_id").alias("start"), F.col("step_id").alias("node"))
     pair = ["artifact_id", "start", "node"]
     found: list[str] = []
@@ -143,7 +143,7 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_00
         found.append(path)
         known = spark.read.schema(schema).parquet(*found)
         new = (
-            latest.join(links_df, ["artifact_id", "node"])
+            latest.join(by_node, ["artifact_id", "node"])
             .select("artifact_id", "start", F.col("_next").alias("node"))
             .distinct()
             .join(known, pair, "left_anti")

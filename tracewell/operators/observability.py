@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewell.functions.numeric import clamp_min, duration_seconds, epoch_seconds
 from tracewell.operators.audit import STALE_SECONDS
 from tracewell.scale import exact_percentile, running
+from tracewell.session import written
 
 SERIES = ["pipeline_name", "environment_name"]
 
@@ -42,29 +43,47 @@ def status_totals(log: DataFrame) -> DataFrame:
 def runtime_metrics(log: DataFrame, as_of: Column, percentile: str = "exact") -> DataFrame:
     """Retries, failures, rows written, stale attempts, last success, mean and 95th percentile duration.
 
-    ``percentile="approx"`` trades exactness for a single pass.
+    The log is read once, into one row per series and duration. That table is written, because both the sums and
+    the exact percentile come from it. ``percentile="approx"`` needs no such table.
     """
     finished = F.col("status").isin("SUCCESS", "FAILED") & F.col("finished_at").isNotNull()
     timed = log.withColumn("_d", F.when(finished, duration_seconds(F.col("started_at"), F.col("finished_at"))))
     is_stale = (F.col("status") == "RUNNING") & (
         F.col("started_at") < as_of - F.make_dt_interval(secs=F.lit(STALE_SECONDS))
     )
-    last_success = F.max(F.when(F.col("status") == "SUCCESS", F.col("finished_at")))
-    aggregates = [
-        F.count_if(F.col("attempt_number") > 1).cast("double").alias("retry_count"),
-        F.count_if(F.col("status") == "FAILED").cast("double").alias("failure_count"),
-        F.coalesce(F.sum("records_written"), F.lit(0)).cast("double").alias("records_written"),
-        F.count_if(is_stale).cast("double").alias("stale_running"),
-        F.coalesce(epoch_seconds(last_success), F.lit(0.0)).alias("last_success_timestamp_seconds"),
-        F.coalesce(F.avg("_d"), F.lit(0.0)).alias("average_duration_seconds"),
-    ]
+    counts = {
+        "retry_count": F.count_if(F.col("attempt_number") > 1),
+        "failure_count": F.count_if(F.col("status") == "FAILED"),
+        "records_written": F.coalesce(F.sum("records_written"), F.lit(0)),
+        "stale_running": F.count_if(is_stale),
+    }
+    success = F.max(F.when(F.col("status") == "SUCCESS", F.col("finished_at")))
+
+    def last_success(value: Column) -> Column:
+        return F.coalesce(epoch_seconds(value), F.lit(0.0)).alias("last_success_timestamp_seconds")
+
     if percentile == "approx":
-        p95 = F.coalesce(F.percentile_approx("_d", 0.95), F.lit(0.0)).cast("double").alias("p95_duration_seconds")
-        return timed.groupBy(*SERIES).agg(*aggregates, p95)
-    exact = exact_percentile(timed, SERIES, "_d", 0.95, "p95_duration_seconds")
+        return timed.groupBy(*SERIES).agg(
+            *[c.cast("double").alias(n) for n, c in counts.items()],
+            last_success(success),
+            F.coalesce(F.avg("_d"), F.lit(0.0)).alias("average_duration_seconds"),
+            F.coalesce(F.percentile_approx("_d", 0.95), F.lit(0.0)).cast("double").alias("p95_duration_seconds"),
+        )
+    per_duration = written(
+        timed.groupBy(*SERIES, "_d").agg(
+            *[c.alias(n) for n, c in counts.items()], success.alias("_success"), F.count(F.lit(1)).alias("_n")
+        ),
+        "durations",
+    )
+    exact = exact_percentile(per_duration, SERIES, "_d", 0.95, "p95_duration_seconds", weight="_n")
+    attempts = F.sum(F.when(F.col("_d").isNotNull(), F.col("_n")))
     return (
-        timed.groupBy(*SERIES)
-        .agg(*aggregates)
+        per_duration.groupBy(*SERIES)
+        .agg(
+            *[F.sum(n).cast("double").alias(n) for n in counts],
+            last_success(F.max("_success")),
+            F.coalesce(F.sum(F.col("_d") * F.col("_n")) / attempts, F.lit(0.0)).alias("average_duration_seconds"),
+        )
         .join(exact, SERIES, "left")
         .withColumn("p95_duration_seconds", F.coalesce("p95_duration_seconds", F.lit(0.0)))
     )

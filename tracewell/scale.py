@@ -140,11 +140,14 @@ def running(
     )
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+def exact_percentile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, weight: str | None = None
+) -> DataFrame:
     """Exact interpolated percentile per key, with no task holding all values of a key.
 
-    Values are first counted per (key, value). A logarithmic bucket of the value, of which there are at most a
-    few thousand, tells where the wanted rank lies; only the bucket or two around it are then ordered.
+    Values are first counted per (key, value), where ``weight`` says how often a row counts. A logarithmic bucket
+    of the value, of which there are at most a few thousand, tells where the wanted rank lies; only the bucket or
+    two around it are then ordered.
     """
     keys = list(keys)
     magnitude = F.floor(F.log2(F.abs(F.col("_v")) + 1) * 8)
@@ -152,7 +155,7 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, o
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_b", bucket)
     )
     ordered = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
