@@ -46,8 +46,17 @@ def resolve_parameters(
 
 
 def merge_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Sort-merge equi join: inner, left, right or full. Adaptive execution splits skewed partitions."""
-    return left.hint("merge").join(right, list(on), how)
+    """Sort-merge equi join: inner, left, right or full.
+
+    Adaptive execution splits skewed partitions of all but full joins, so a full join is put together from a left
+    join and the right rows that found no partner.
+    """
+    on = list(on)
+    if how != "full":
+        return left.hint("merge").join(right, on, how)
+    matched = left.hint("merge").join(right, on, "left")
+    alone = right.join(left.select(*on).hint("merge"), on, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def join_rows(left: DataFrame, right: DataFrame, on: Sequence[str], condition: Column) -> DataFrame:

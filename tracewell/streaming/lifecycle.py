@@ -20,6 +20,11 @@ from tracewell.session import work_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _ordered(rows: Iterator[pd.DataFrame]) -> Iterator:
+    """One attempt's changes of one micro-batch in order; the source's trigger options bound their number."""
+    return pd.concat(list(rows)).sort_values(["changed_at", "change_no"]).itertuples(index=False)
+
+
 class _Lifecycle(StatefulProcessor):
     """Remembers the last status of an attempt and emits an event for each change."""
 
@@ -30,15 +35,14 @@ class _Lifecycle(StatefulProcessor):
         known = self.last.exists()
         last = self.last.get()[0] if known else None
         out = []
-        for batch in rows:
-            for r in batch.sort_values(["changed_at", "change_no"]).itertuples(index=False):
-                if not known:
-                    out.append((key[0], "STARTED", r.changed_at, STARTED_MESSAGE))
-                elif r.status != last:
-                    failed = r.status == "FAILED"
-                    text = (r.error_message or FAILED_MESSAGE) if failed else DONE_MESSAGE
-                    out.append((key[0], EVENT_OF_STATUS.get(r.status, r.status), r.changed_at, text))
-                known, last = True, r.status
+        for r in _ordered(rows):
+            if not known:
+                out.append((key[0], "STARTED", r.changed_at, STARTED_MESSAGE))
+            elif r.status != last:
+                given = isinstance(r.error_message, str) and r.error_message
+                text = (given or FAILED_MESSAGE) if r.status == "FAILED" else DONE_MESSAGE
+                out.append((key[0], EVENT_OF_STATUS.get(r.status, r.status), r.changed_at, text))
+            known, last = True, r.status
         self.last.update((last,))
         yield pd.DataFrame(out, columns=["execution_id", "event_type", "event_at", "message"])
 
@@ -59,12 +63,11 @@ class _Stale(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         started = self.started.get()[0] if self.started.exists() else None
         before = started
-        for batch in rows:
-            for r in batch.sort_values(["changed_at", "change_no"]).itertuples(index=False):
-                if r.status != "RUNNING":
-                    started = None
-                elif started is None:
-                    started = int(r.changed_at.value // 1000)
+        for r in _ordered(rows):
+            if r.status != "RUNNING":
+                started = None
+            elif started is None:
+                started = int(r.changed_at.value // 1000)
         if started != before:
             if before is not None:
                 self.handle.deleteTimer(before // 1000 + self.after)
