@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tracewell.functions.text import message_or
-from tracewell.scale import running, spread_join
+from tracewell.scale import largest_group, running, spread_join
 
 ATTEMPT_KEY = ["pipeline_name", "environment_name", "run_id", "attempt_number"]
 RUN_KEY = ATTEMPT_KEY[:3]
@@ -166,18 +166,20 @@ def next_attempts(log: DataFrame, requests: DataFrame, order: list[str], max_ret
 
 def retry_chain(log: DataFrame, order: tuple[str, ...] = ("attempt_number", "execution_id")) -> DataFrame:
     """Attempts of a correlation id in order, with the previous status and whether the attempt is the last one."""
+    sizes = largest_group(log, ["correlation_id"])
     seen = running(
         log,
         ["correlation_id"],
         order,
         {"attempt_position": ("row_number",), "previous_status": ("lag", "status")},
+        sizes=sizes,
     )
     final = log.groupBy("correlation_id").agg(
         F.max_by("status", F.struct(*order)).alias("final_status"),
         F.count(F.lit(1)).alias("attempts"),
         F.count_if(F.col("status") == "FAILED").alias("failed_attempts"),
     )
-    joined = spread_join(seen, final, ["correlation_id"], "left")
+    joined = spread_join(seen, final, ["correlation_id"], "left", sizes=sizes)
     return joined.withColumn("is_final", F.col("attempt_position") == F.col("attempts"))
 
 

@@ -134,9 +134,12 @@ def run_events(spark, sf):
 
 
 @query(
-    with_sql(LOG_SQL, CHANGES_SQL, EVENTS_SQL)
-    + """SELECT correlation_id, 0 AS page, string_agg(event_type, ',' ORDER BY changed_at, execution_id, change_no) AS event_sequence
- FROM lifecycle GROUP BY correlation_id"""
+    with_sql(
+        LOG_SQL, CHANGES_SQL, EVENTS_SQL,
+        """numbered AS (SELECT *, row_number() OVER (PARTITION BY correlation_id ORDER BY changed_at, execution_id, change_no) AS nth FROM lifecycle)""",
+    )
+    + """SELECT correlation_id, (nth - 1) // 1000 AS page, string_agg(event_type, ',' ORDER BY nth) AS event_sequence
+ FROM numbered GROUP BY 1, 2"""
 )
 def event_sequence(spark, sf):
     events = audit.lifecycle_events(exec_changes(spark, sf))
@@ -145,9 +148,12 @@ def event_sequence(spark, sf):
 
 
 @query(
-    with_sql(LOG_SQL)
-    + """SELECT correlation_id, 0 AS page, string_agg(attempt_number || ':' || status || ':' || records_written || ':' ||
- coalesce(error_message, ''), ',' ORDER BY attempt_number, execution_id) AS attempt_history FROM exec_log GROUP BY 1"""
+    with_sql(
+        LOG_SQL,
+        "numbered AS (SELECT *, row_number() OVER (PARTITION BY correlation_id ORDER BY attempt_number, execution_id) AS nth FROM exec_log)",
+    )
+    + """SELECT correlation_id, (nth - 1) // 1000 AS page, string_agg(attempt_number || ':' || status || ':' || records_written || ':' ||
+ coalesce(error_message, ''), ',' ORDER BY nth) AS attempt_history FROM numbered GROUP BY 1, 2"""
 )
 def attempt_history(spark, sf):
     return audit.attempt_history(exec_log(spark, sf))

@@ -33,11 +33,12 @@ def spread_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     sized_by: tuple[DataFrame, Sequence[str], int] | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Equi join in which ``right`` holds each key at most once and hot keys of ``left`` are split.
 
     The keys of ``left`` are counted first. When none is hot this is a plain join. Where ``left`` is costly to
-    compute, ``sized_by`` may name a cheaper table, coarser keys and the left rows expected per row of it; only
+    compute, ``sizes`` may hand over counts taken before, or ``sized_by`` may name a cheaper table, coarser keys and the left rows expected per row of it; only
     when that table shows a key that could be hot is ``left`` itself counted. Otherwise left rows of a hot
     key go to several partitions by row hash, and only the matching right rows are copied. At most rows/hot_rows
     keys can be hot, which bounds the table that is broadcast to mark them. Rows with a null key never match and
@@ -50,7 +51,7 @@ def spread_join(
         table, keys, fanout = sized_by
         if largest_group(table, keys)[0] * fanout <= hot_rows:
             return left.join(right, on, how)
-    if largest_group(left, on)[0] <= hot_rows:
+    if (sizes or largest_group(left, on))[0] <= hot_rows:
         return left.join(right, on, how)
     hot = F.broadcast(
         left.groupBy(*on)
@@ -79,18 +80,19 @@ def running(
     order: Sequence[str],
     outputs: dict[str, tuple],
     hot_rows: int = HOT_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Ordered running values per key, without ever putting a very large key into one task.
 
     ``outputs`` maps a new column to ``("row_number",)``, ``("max", col)`` or ``("lag", col)``, all in ascending
     ``order``, which must order the rows of a key totally. Without ``keys`` the whole table is one key.
 
-    Key sizes are counted first. When every key fits a task this is a plain window. Otherwise the rows are range
+    Key sizes are counted first, unless ``sizes`` hands them over. When every key fits a task this is a plain window. Otherwise the rows are range
     partitioned by key and order and written once, so that all later reads see the same cuts; values are computed
     inside a cut, and a table with one row per key and cut carries them from one cut to the next.
     """
     keys, order = list(keys), list(order)
-    largest, total = largest_group(df, keys)
+    largest, total = sizes or largest_group(df, keys)
     if largest <= hot_rows:
         window = Window.partitionBy(*keys).orderBy(*order)
         so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
