@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import url_filters
+from tracewell.llm import exact_dedup, packing, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,3 +44,22 @@ def op8_url_filters(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     out = url_filters.match_urls(pages, url_filters.rule_table(spark, URL_RULES))
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, {SQL_LOWER.format("text")} AS t FROM documents),
+ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""
+)
+def op5_exact_dedup(spark, sf):
+    return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
+
+
+BYTE_BPE = "byte_bpe_50k.json"
+PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+@query()
+def op7_packing(spark, sf):
+    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1, with_ids=False)
+    return packed.select(*PACKED)
