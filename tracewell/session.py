@@ -47,11 +47,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The stored rows cut the lineage, survive lost executors, and are read with column pruning.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
