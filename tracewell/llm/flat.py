@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
 PIECE_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +62,22 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
             start = end
 
 
+def appended(df: DataFrame, text_col: str, fields: list[T.StructField], compute) -> DataFrame:
+    """All rows and columns of ``df`` with new last columns: ``compute(slice's text column)`` gives their arrays.
+
+    A column that has the name of a new one is replaced.
+    """
+    df = df.drop(*[f.name for f in fields if f.name in df.columns and f.name != text_col])
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text_col):
+            new = compute(part.column(place))
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *[f.name for f in fields]])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
 def prefix_hash(flat: np.ndarray) -> np.ndarray:
     """H with H[i] the polynomial hash of the first i bytes; span_hash turns differences into hashes of spans."""
     up, _ = _powers_to(len(flat) + 1)

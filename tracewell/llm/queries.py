@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import exact_dedup, packing, url_filters
+from tracewell.llm import decontamination, exact_dedup, packing, token_files, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,3 +63,28 @@ PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 def op7_packing(spark, sf):
     packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1, with_ids=False)
     return packed.select(*PACKED)
+
+
+def _items_digest():
+    names = F.array_sort(F.transform("hit_items", lambda i: i.cast("string")))
+    return F.sha2(F.array_join(names, ","), 256)
+
+
+@query()
+def op9_decontamination(spark, sf):
+    docs, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    seen = decontamination.contamination(docs, items)
+    return seen.select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), _items_digest().alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+@query()
+def op10_token_files(spark, sf):
+    path = public_tokenizers.path(WORD_BPE)
+    read = token_files.token_files(table(spark, sf, "documents"), path, end_id=2, fold=True, with_ids=False)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")

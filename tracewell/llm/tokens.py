@@ -123,7 +123,7 @@ class PieceEncoder:
         found: list = [None] * len(words)
         rest = []
         for i, word in enumerate(words):
-            if (word[1:] if word[:1] == b" " else word).isalpha():  # only ASCII letters: one word for the model as it is
+            if (word[1:] if word[:1] == b" " and not self.fold else word).isalpha():  # only ASCII letters: one word for the model as it is
                 found[i] = [t.id for t in model.tokenize(word.decode().replace(" ", "Ġ"))]
             else:
                 rest.append(i)
