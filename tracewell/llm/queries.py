@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, packing, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, packing, quality, sharding, token_files, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,3 +88,35 @@ def op10_token_files(spark, sf):
     path = public_tokenizers.path(WORD_BPE)
     read = token_files.token_files(table(spark, sf, "documents"), path, end_id=2, fold=True, with_ids=False)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op6_sharding(spark, sf):
+    docs = table(spark, sf, "documents")
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text).cast("long") + 8
+    meta = docs.select(
+        "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text, size).alias("copy"),
+        F.log2(size).alias("log_size"), F.pmod(F.xxhash64("source"), F.lit(4096)).alias("source_at"),
+        F.pmod(F.xxhash64("lang"), F.lit(4096)).alias("lang_at"),
+    )
+    out = sharding.kd_shards(meta, 24, ["log_size", "source_at", "lang_at", "doc_id"], "size", "copy")
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def held_out(n: int, rest: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == rest
+
+
+def quality_model(docs, labels):
+    """The classifier of the query and of the pipeline: labels of every fifth document are never read."""
+    return quality.train(docs, labels.where("quality = 1").select("doc_id"), ~held_out(5, 0))
+
+
+@query()
+def op1_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
