@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, packing, quality, sharding, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, jaccard_join, packing, quality, sharding, token_files, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -120,3 +120,8 @@ def op1_quality(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality_model(docs, table(spark, sf, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_jaccard_join(spark, sf):
+    return jaccard_join.similarity_components(table(spark, sf, "documents").select("doc_id", "text"))

@@ -16,7 +16,7 @@ from tracewell.session import work_path, written
 
 MAX_BITS = 16
 BLOCK = 512
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 PART_TOKENS = 1 << 23
 HEADER = struct.Struct("<4sIQI")
 MAGIC = b"THF1"
