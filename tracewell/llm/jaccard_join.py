@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.llm import flat
 from tracewell.llm.components import components
+from tracewell.llm.keep import keep_rows
 from tracewell.session import written
 
 WORDS = 5
@@ -254,7 +255,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``doc, k, n, prefix, sig`` per document: key and size of its set, the first shingles in the common order
+    """``doc, mark, k, n, prefix, sig`` per document: its id, hash of its text, key and size of its set, the first shingles in the common order
     (those not in ``hot`` ascending, then the others), of which similar sets share one, and the bitmap.
 
     ``k`` is null for documents without words; prefix and bitmap stand at the first document of a key in each slice.
@@ -280,28 +281,16 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
                 prefixes.append(order[: size - (4 * size + 4) // 5 + 1].view(np.int64))
                 bitmaps.append(signature(own).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())],
-                ["doc", "k", "n", "prefix", "sig"],
+                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())],
+                ["doc", "mark", "k", "n", "prefix", "sig"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, k long, n long, prefix array<long>, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary")
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id`` for every row: the smallest id reachable by links of Jaccard 0.8 or more.
-
-    A set is a document's distinct 5-word shingles (lower-case A-Z; fewer words: the sequence as a whole). Null and
-    empty texts, and texts of white space, have an empty set and link with nothing. Rows with equal sets are linked;
-    repeated ids and null ids are rows like others, and a null id is never a component's name unless all are null.
-    Shingles and sets are compared by 64-bit hashes. Other columns are not read.
-
-    Documents are first folded to distinct sets. Similar sets share one of their first shingles in a common order,
-    rare before frequent; a shingle's sets form a cell, and cells too large for a task are split by size bands and
-    salts without losing a pair. In a cell a signature tree is traversed against itself. Pairs that it leaves are
-    checked with the whole sets. The first round links clusters by few pairs; the second checks every pair left
-    between different components, so that no link between components is missed.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, mark, k, n, root``: every document with its key and the smallest key that its key reaches by links."""
     spark = docs.sparkSession
     index = written(shingle_index(docs, hot_shingles(docs, text_col), id_col, text_col), "shingle_index")
     stored = index.where("prefix is not null")
@@ -329,12 +318,39 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = written(_verified(second, _sets(docs, index, second, id_col, text_col)), "links") if not second.isEmpty() else none
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)), "roots")
-    named = index.select("doc", "k", "n")
+    named = index.select("doc", "mark", "k", "n")
     if roots is not None:
         named = named.join(roots, named["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k"))
     else:
         named = named.withColumn("root", F.col("k"))
+    return named
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_shingles, component_id`` for every row: the smallest id reachable by links of Jaccard 0.8 or more.
+
+    A set is a document's distinct 5-word shingles (lower-case A-Z; fewer words: the sequence as a whole). Null and
+    empty texts, and texts of white space, have an empty set and link with nothing. Rows with equal sets are linked;
+    repeated ids and null ids are rows like others, and a null id is never a component's name unless all are null.
+    Shingles and sets are compared by 64-bit hashes. Other columns are not read.
+
+    Documents are first folded to distinct sets. Similar sets share one of their first shingles in a common order,
+    rare before frequent; a shingle's sets form a cell, and cells too large for a task are split by size bands and
+    salts without losing a pair. In a cell a signature tree is traversed against itself. Pairs that it leaves are
+    checked with the whole sets. The first round links clusters by few pairs; the second checks every pair left
+    between different components, so that no link between components is missed.
+    """
+    named = _labelled(docs, id_col, text_col)
     smallest = written(named.where("root is not null").groupBy("root").agg(F.min("doc").alias("least")), "names")
     return named.join(smallest, "root", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of every component, and those without words, with all their columns."""
+    named = _labelled(docs, id_col, text_col)
+    rank = F.struct(F.col("doc").isNull().alias("null"), "doc", "mark")
+    first = written(named.where("root is not null").groupBy("root").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "names")
+    verdicts = named.join(first, "root", "left").select("doc", "mark", (F.col("first").isNull() | (F.col("first") == rank)).alias("kept"))
+    return keep_rows(docs, verdicts, id_col, text_col)
