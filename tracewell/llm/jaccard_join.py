@@ -18,6 +18,7 @@ from tracewell.session import written
 WORDS = 5
 HOT_LIST, HOT_DOCS, HOT_LOCAL = 65_536, 64, 4
 CELL_ROWS, LEAF, FANOUT = 4096, 16, 8
+SEEDS = flat.mix(np.arange(1, 4, dtype=np.uint64) * flat.MIX)
 BROADCAST_IDS = 500_000
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -255,7 +256,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``doc, mark, k, n, prefix, sig`` per document: its id, hash of its text, key and size of its set, the first shingles in the common order
+    """``doc, mark, k, n, prefix, sig, mins`` per document: its id, hash of its text, key and size of its set, its smallest
+    shingles by three other orders, the first shingles in the common order
     (those not in ``hot`` ascending, then the others), of which similar sets share one, and the bitmap.
 
     ``k`` is null for documents without words; prefix and bitmap stand at the first document of a key in each slice.
@@ -267,7 +269,7 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
         for part in flat.pieces(batches, "text"):
             values, bounds = shingle_sets(part.column("text"))
             late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(len(values), bool)
-            keys, prefixes, bitmaps, seen = [], [], [], set()
+            keys, prefixes, bitmaps, mins, seen = [], [], [], [], set()
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own, size = values[a:b], b - a
                 key = _key(own.tobytes()) if size else None
@@ -275,18 +277,20 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
                 if not size or key in seen:
                     prefixes.append(None)
                     bitmaps.append(None)
+                    mins.append(None)
                     continue
                 seen.add(key)
                 order = np.concatenate([own[~late[a:b]], own[late[a:b]]])
                 prefixes.append(order[: size - (4 * size + 4) // 5 + 1].view(np.int64))
                 bitmaps.append(signature(own).tobytes())
+                mins.append([int(flat.mix(own ^ seed).min().view(np.int64)) for seed in SEEDS])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary())],
-                ["doc", "mark", "k", "n", "prefix", "sig"],
+                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
+                ["doc", "mark", "k", "n", "prefix", "sig", "mins"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary")
+    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary, mins array<long>")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -294,35 +298,36 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     index = written(shingle_index(docs, hot_shingles(docs, text_col), id_col, text_col), "shingle_index")
     stored = index.where("prefix is not null")
-    tokens = stored.select("k", "n", F.inline(F.transform("prefix", lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(F.col("prefix"), i - 1).bitwiseAND(0x7FFFFFFF)).alias("prev")))))
+    bitmaps = stored.select("k", "sig")
+
+    def pairs_of(cells: DataFrame, first_round: bool) -> DataFrame:
+        wanted = bitmaps.join(cells.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+        return _candidates(cells.join(wanted, "k"), first_round)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(_verified(pairs, _sets(docs, index, pairs, id_col, text_col)), "links")
+
+    def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots, rows["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k")).drop("node")
+
     cell = Window.partitionBy("h")
-    measured = tokens.withColumns(
-        {"c": F.count(F.lit(1)).over(cell), "_p": F.count("prev").over(cell), "_p0": F.min("prev").over(cell), "_p1": F.max("prev").over(cell), "_k0": F.min("k").over(cell), "_k1": F.max("k").over(cell)}
-    )
-    live = measured.where("_k0 <> _k1 AND (_p < c OR _p0 <> _p1)").select("h", "k", "n", "prev", "c")
-    live = written(live, "shingle_cells")
-    wanted = live.select("k").distinct()
-    bitmaps = stored.select("k", "sig").join(wanted, "k", "left_semi").dropDuplicates(["k"])
-    cells = written(live.join(bitmaps, "k"), "shingle_signatures")
-    none = spark.createDataFrame([], "a long, b long")
-
-    first = written(_candidates(cells.withColumn("root", F.col("k")), True), "pairs")
-    links = written(_verified(first, _sets(docs, index, first, id_col, text_col)), "links")
-    roots = written(components(links), "roots") if not links.isEmpty() else None
-    if roots is not None:
-        marked = cells.join(roots, cells["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k")).drop("node")
-    else:
-        marked = cells.withColumn("root", F.col("k"))
-    differing = marked.withColumns({"_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell)}).where("_r0 <> _r1").drop("_r0", "_r1")
-    second = written(_candidates(differing, False).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(_verified(second, _sets(docs, index, second, id_col, text_col)), "links") if not second.isEmpty() else none
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more)), "roots")
+    size = F.count(F.lit(1)).over(cell)
+    mins = stored.select("k", "n", F.explode("mins").alias("h")).withColumns({"c": size, "_k0": F.min("k").over(cell), "_k1": F.max("k").over(cell)})
+    starts = mins.where("_k0 <> _k1").select("h", "k", "n", F.lit(None).cast("long").alias("prev"), "c", F.col("k").alias("root"))
+    first = written(pairs_of(written(starts, "first_cells"), True), "pairs")
+    links = linked(first)
+    roots = written(components(links), "roots")
+
+    before = lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(F.col("prefix"), i - 1).bitwiseAND(0x7FFFFFFF)).alias("prev"))
+    tokens = labelled(stored, roots).select("k", "n", "root", F.inline(F.transform("prefix", before)))
+    measured = tokens.withColumns({"c": size, "_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell), "_p": F.count("prev").over(cell), "_p0": F.min("prev").over(cell), "_p1": F.max("prev").over(cell)})
+    live = measured.where("_r0 <> _r1 AND (_p < c OR _p0 <> _p1)").select("h", "k", "n", "prev", "c", "root")
+    second = written(pairs_of(written(live, "cells"), False).join(first, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
+        more = linked(second)
+        roots = roots if more.isEmpty() else written(components(links.unionByName(more)), "roots")
     named = index.select("doc", "mark", "k", "n")
-    if roots is not None:
-        named = named.join(roots, named["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k"))
-    else:
-        named = named.withColumn("root", F.col("k"))
+    named = named.join(roots, named["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k"))
     return named
 
 
@@ -334,11 +339,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated ids and null ids are rows like others, and a null id is never a component's name unless all are null.
     Shingles and sets are compared by 64-bit hashes. Other columns are not read.
 
-    Documents are first folded to distinct sets. Similar sets share one of their first shingles in a common order,
-    rare before frequent; a shingle's sets form a cell, and cells too large for a task are split by size bands and
-    salts without losing a pair. In a cell a signature tree is traversed against itself. Pairs that it leaves are
-    checked with the whole sets. The first round links clusters by few pairs; the second checks every pair left
-    between different components, so that no link between components is missed.
+    Sets that share a shingle form a cell. In a cell a signature tree is traversed against itself, and the pairs that
+    it leaves are checked with the whole sets. Cells too large for a task are split by size bands and salts without
+    losing a pair. The first round takes the sets' smallest shingles by three orders and links clusters by few pairs.
+    The second is complete: similar sets share one of their first shingles in a common order, rare before frequent,
+    and it checks every pair in those cells between different components that the bitmaps leave.
     """
     named = _labelled(docs, id_col, text_col)
     smallest = written(named.where("root is not null").groupBy("root").agg(F.min("doc").alias("least")), "names")

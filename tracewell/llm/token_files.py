@@ -135,31 +135,32 @@ def decode_segment(data: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[l
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, fold: bool, id_col: str, text_col: str) -> DataFrame:
-    """``doc``, ``n`` and the ids of each text (``end_id`` last) as little-endian 32-bit integers."""
+    """``doc``, ``n`` and the ids of each text (``end_id`` last) as little-endian integers of ``id_type``."""
+    kind = id_type(tokenizer, fold)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, offsets in tokens.encoded(batches, tokenizer, fold, end_id):
-            kind = pa.large_binary() if ids.nbytes > 1 << 30 else pa.binary()
-            width = np.int64 if ids.nbytes > 1 << 30 else np.int32
-            blob = pa.Array.from_buffers(kind, part.num_rows, [None, pa.py_buffer((4 * offsets).astype(width)), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(offsets)), blob], ["doc", "n", "ids"])
+            ids = ids.astype(kind)
+            blob = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ids.itemsize * offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(np.diff(offsets)), blob.cast(pa.binary())], ["doc", "n", "ids"])
 
     return rows.mapInArrow(run, "doc long, n long, ids binary")
 
 
-def _as_ids(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u4")
+def id_type(tokenizer: str, fold: bool) -> str:
+    """Two bytes an id where the vocabulary allows it; ids wait and move in this form before they are coded."""
+    return "<u2" if tokens.encoder(tokenizer, fold).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def id_counts(ids: DataFrame) -> np.ndarray:
+def id_counts(ids: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents; the result is as long as the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                found = np.bincount(_as_ids(blob))
+                found = np.bincount(np.frombuffer(blob, kind))
                 if len(found) > len(total):
                     found[: len(total)] += total
                     total = found
@@ -188,7 +189,9 @@ def write_tokens(
     """
     spark = docs.sparkSession
     ids = written(tokenized(docs, tokenizer, end_id, fold, id_col, text_col), "ids", compression="zstd")
-    counts = id_counts(ids)
+    kind = id_type(tokenizer, fold)
+    counts = id_counts(ids, kind)
+    width = np.dtype(kind).itemsize
     lengths = code_lengths(counts)
     codes = canonical(lengths)
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
@@ -203,12 +206,12 @@ def write_tokens(
 
         for batch in batches:
             for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and size + len(blob) // 4 > SEGMENT:
+                if held and size + len(blob) // width > SEGMENT:
                     yield row()
                     segment, names, held, size = segment + 1, [], [], 0
                 names.append(doc)
-                held.append(_as_ids(blob))
-                size += len(blob) // 4
+                held.append(np.frombuffer(blob, kind))
+                size += len(blob) // width
         if held:
             yield row()
 
