@@ -70,8 +70,8 @@ def hot_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Bitmap of a set as 64-bit words, of at least two bits a member; halves fold onto each other by OR."""
-    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    """Bitmap of a set as 64-bit words, of at least one bit a member; halves fold onto each other by OR."""
+    width = max(64, 1 << (len(hashes) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[hashes & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
