@@ -117,19 +117,24 @@ class Node:
         return self.spare + (lost if words < len(self.bitmap) else 0)
 
 
-def signature_tree(sizes: np.ndarray, bitmaps: list[np.ndarray]) -> Node:
-    """Leaves of up to LEAF members of neighbouring sizes, then FANOUT nodes under each node, up to one root."""
+def signature_trees(sizes: np.ndarray, bitmaps: list[np.ndarray]) -> list[Node]:
+    """Roots of trees, one per bitmap width, so that no bitmap loses bits to a much smaller neighbour: leaves of up to
+    LEAF members of neighbouring sizes, then FANOUT nodes under each node."""
     order = np.lexsort((np.arange(len(sizes)), sizes))
-    level = [Node(sizes, bitmaps, order[i : i + LEAF], []) for i in range(0, len(order), LEAF)]
-    while len(level) > 1:
-        groups = [level[i : i + FANOUT] for i in range(0, len(level), FANOUT)]
-        level = [Node(sizes, bitmaps, np.concatenate([c.members for c in g]), g) for g in groups]
-    return level[0]
-
-
-def dual_traversal(root: Node, sizes: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    widths = np.array([len(bitmaps[m]) for m in order])
+    roots = []
+    for own in np.split(order, np.flatnonzero(np.diff(widths)) + 1):
+        level = [Node(sizes, bitmaps, own[i : i + LEAF], []) for i in range(0, len(own), LEAF)]
+        while len(level) > 1:
+            groups = [level[i : i + FANOUT] for i in range(0, len(level), FANOUT)]
+            level = [Node(sizes, bitmaps, np.concatenate([c.members for c in g]), g) for g in groups]
+        roots += level
+    return roots
+
+
+def dual_traversal(roots: list[Node], sizes: np.ndarray) -> Iterator[tuple[int, int, bool]]:
     """Pairs of members that may be similar, and whether they probably are, by the bits one has and the other lacks."""
-    stack = [(root, root)]
+    stack = [(a, b) for i, a in enumerate(roots) for b in roots[: i + 1]]
     while stack:
         a, b = stack.pop()
         if a is not b and not a.may_match(b):
@@ -174,7 +179,7 @@ def _cell_pairs(rows: list[dict], first_round: bool) -> Iterator[tuple[int, int]
         parent[i] = labels.setdefault(r["root"], i)
     if len(labels) < 2:
         return
-    for i, j, likely in dual_traversal(signature_tree(sizes, bitmaps), sizes):
+    for i, j, likely in dual_traversal(signature_trees(sizes, bitmaps), sizes):
         x, y = members[i], members[j]
         if x["prev"] is not None and x["prev"] == y["prev"]:
             continue
