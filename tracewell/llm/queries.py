@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, jaccard_join, packing, quality, sharding, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, token_files, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -125,3 +125,8 @@ def op1_quality(spark, sf):
 @query()
 def op4_jaccard_join(spark, sf):
     return jaccard_join.similarity_components(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query()
+def op3_language_model(spark, sf):
+    return language_model.score_texts(table(spark, sf, "documents").select("doc_id", "text"), held_out(7, 2))
