@@ -90,11 +90,12 @@ def enough(overlap, a, b):
 
 
 class Node:
-    """A node of a signature tree: its members' OR bitmap and size range, and the most tokens that share bits."""
+    """A node of a signature tree: its members' OR bitmap and size range, the most tokens that share bits, and the most
+    that stand at or after the cell's shingle in the common order."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], members: np.ndarray, children: list[Node]):
+    def __init__(self, sizes: np.ndarray, rooms: np.ndarray, bitmaps: list[np.ndarray], members: np.ndarray, children: list[Node]):
         self.members, self.children = members, children
-        self.low, self.high = int(sizes[members].min()), int(sizes[members].max())
+        self.low, self.high, self.room = int(sizes[members].min()), int(sizes[members].max()), int(rooms[members].max())
         words = min(len(bitmaps[m]) for m in members)
         self.table = np.stack([fold(bitmaps[m], words) for m in members])
         self.spare = int((sizes[members] - np.bitwise_count(self.table).sum(1)).max())
@@ -103,7 +104,12 @@ class Node:
             self.table = None
 
     def may_match(self, other: Node) -> bool:
-        """Whether sizes and the largest possible overlap leave room for a similar pair."""
+        """Whether sizes and the largest possible overlap leave room for a similar pair.
+
+        Where the cell's shingle is the first that two sets share, they share no more than what stands after it.
+        """
+        if not enough(min(self.room, other.room), self.low, other.low):
+            return False
         if 5 * self.high < 4 * other.low or 5 * other.high < 4 * self.low:
             return False
         words = min(len(self.bitmap), len(other.bitmap))
@@ -117,27 +123,27 @@ class Node:
         return self.spare + (lost if words < len(self.bitmap) else 0)
 
 
-def signature_trees(sizes: np.ndarray, bitmaps: list[np.ndarray]) -> list[Node]:
+def signature_trees(sizes: np.ndarray, rooms: np.ndarray, bitmaps: list[np.ndarray]) -> list[Node]:
     """Roots of trees, one per bitmap width, so that no bitmap loses bits to a much smaller neighbour: leaves of up to
     LEAF members of neighbouring sizes, then FANOUT nodes under each node."""
     order = np.lexsort((np.arange(len(sizes)), sizes))
     widths = np.array([len(bitmaps[m]) for m in order])
     roots = []
     for own in np.split(order, np.flatnonzero(np.diff(widths)) + 1):
-        level = [Node(sizes, bitmaps, own[i : i + LEAF], []) for i in range(0, len(own), LEAF)]
+        level = [Node(sizes, rooms, bitmaps, own[i : i + LEAF], []) for i in range(0, len(own), LEAF)]
         while len(level) > 1:
             groups = [level[i : i + FANOUT] for i in range(0, len(level), FANOUT)]
-            level = [Node(sizes, bitmaps, np.concatenate([c.members for c in g]), g) for g in groups]
+            level = [Node(sizes, rooms, bitmaps, np.concatenate([c.members for c in g]), g) for g in groups]
         roots += level
     return roots
 
 
-def dual_traversal(roots: list[Node], sizes: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+def dual_traversal(roots: list[Node], sizes: np.ndarray, rooms: np.ndarray) -> Iterator[tuple[int, int, bool]]:
     """Pairs of members that may be similar, and whether they probably are, by the bits one has and the other lacks."""
     stack = [(a, b) for i, a in enumerate(roots) for b in roots[: i + 1]]
     while stack:
         a, b = stack.pop()
-        if a is not b and not a.may_match(b):
+        if not a.may_match(b):
             continue
         if a.children or b.children:
             left, right = a.children or [a], b.children or [b]
@@ -150,7 +156,8 @@ def dual_traversal(roots: list[Node], sizes: np.ndarray) -> Iterator[tuple[int,
         x, y = fold(a.table, words)[:, None], fold(b.table, words)[None]
         nx, ny = sizes[a.members][:, None], sizes[b.members][None]
         x_only, y_only = np.bitwise_count(x & ~y).sum(2, dtype=np.int64), np.bitwise_count(y & ~x).sum(2, dtype=np.int64)
-        possible = enough(np.minimum(nx - x_only, ny - y_only), nx, ny)
+        room = np.minimum(rooms[a.members][:, None], rooms[b.members][None])
+        possible = enough(np.minimum(np.minimum(nx - x_only, ny - y_only), room), nx, ny)
         if a is b:
             possible = np.tril(possible, -1)
         free = 1 - np.bitwise_count(y).sum(2) / (64 * words)
@@ -167,11 +174,12 @@ def _find(parent: list[int], i: int) -> int:
 
 
 def _cell_pairs(rows: list[dict], first_round: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of sets in one cell to be checked. In the first round a probable pair joins its two sides for the rest
-    of the cell, so that a cluster gives about as many pairs as it has members; the second round gives every pair."""
+    """Pairs of sets in one cell to be checked. The first round gives probable pairs only, and each joins its two
+    sides for the rest of the cell, so that no cell gives more pairs than members; the second gives every pair left."""
     unique = {r["k"]: r for r in rows}
     members = sorted(unique.values(), key=lambda r: (r["n"], r["k"]))
     sizes = np.array([r["n"] for r in members], np.int64)
+    rooms = sizes - np.array([r["rank"] for r in members], np.int64)
     bitmaps = [np.frombuffer(r["sig"], np.uint64) for r in members]
     parent = list(range(len(members)))
     labels: dict[int, int] = {}
@@ -179,16 +187,16 @@ def _cell_pairs(rows: list[dict], first_round: bool) -> Iterator[tuple[int, int]
         parent[i] = labels.setdefault(r["root"], i)
     if len(labels) < 2:
         return
-    for i, j, likely in dual_traversal(signature_trees(sizes, bitmaps), sizes):
+    for i, j, likely in dual_traversal(signature_trees(sizes, rooms, bitmaps), sizes, rooms):
         x, y = members[i], members[j]
         if x["prev"] is not None and x["prev"] == y["prev"]:
             continue
         if x["parts"] is not None and (max(x["band"], y["band"]) != x["cell"] or sorted((x["salt"], y["salt"])) != [x["low"], x["high"]]):
             continue
         a, b = _find(parent, i), _find(parent, j)
-        if a != b:
+        if a != b and (likely or not first_round):
             yield min(x["k"], y["k"]), max(x["k"], y["k"])
-            if first_round and likely:
+            if first_round:
                 parent[max(a, b)] = min(a, b)
 
 
@@ -202,7 +210,7 @@ def _candidates(live: DataFrame, first_round: bool) -> DataFrame:
     split = split.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     cells = split.withColumns({"low": F.least("salt", "other"), "high": F.greatest("salt", "other")}).drop("other")
     key = ["h", "cell", "low", "high"]
-    own = cells.select(*key, "k", "n", "prev", "parts", "band", "salt", "root", "sig")
+    own = cells.select(*key, "k", "n", "prev", "rank", "parts", "band", "salt", "root", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in batch.to_pylist())
@@ -318,15 +326,16 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cell = Window.partitionBy("h")
     size = F.count(F.lit(1)).over(cell)
     mins = stored.select("k", "n", F.explode("mins").alias("h")).withColumns({"c": size, "_k0": F.min("k").over(cell), "_k1": F.max("k").over(cell)})
-    starts = mins.where("_k0 <> _k1").select("h", "k", "n", F.lit(None).cast("long").alias("prev"), "c", F.col("k").alias("root"))
+    starts = mins.where("_k0 <> _k1").select("h", "k", "n", F.lit(None).cast("long").alias("prev"), F.lit(0).alias("rank"), "c", F.col("k").alias("root"))
     first = written(pairs_of(written(starts, "first_cells"), True), "pairs")
     links = linked(first)
     roots = written(components(links), "roots")
 
-    before = lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(F.col("prefix"), i - 1).bitwiseAND(0x7FFFFFFF)).alias("prev"))
+    before = lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(F.col("prefix"), i - 1).bitwiseAND(0x7FFFFFFF)).alias("prev"), i.alias("rank"))
     tokens = labelled(stored, roots).select("k", "n", "root", F.inline(F.transform("prefix", before)))
-    measured = tokens.withColumns({"c": size, "_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell), "_p": F.count("prev").over(cell), "_p0": F.min("prev").over(cell), "_p1": F.max("prev").over(cell)})
-    live = measured.where("_r0 <> _r1 AND (_p < c OR _p0 <> _p1)").select("h", "k", "n", "prev", "c", "root")
+    measured = tokens.withColumns({"c": size, "_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell), "_p": F.count("prev").over(cell), "_p0": F.min("prev").over(cell), "_p1": F.max("prev").over(cell), "_n0": F.min("n").over(cell)})
+    some_room = "9 * (n - rank) >= 4 * (n + greatest(_n0, 0.8D * n))"
+    live = measured.where(f"_r0 <> _r1 AND (_p < c OR _p0 <> _p1) AND {some_room}").select("h", "k", "n", "prev", "rank", "c", "root")
     second = written(pairs_of(written(live, "cells"), False).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = linked(second)
