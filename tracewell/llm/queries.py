@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -130,3 +130,8 @@ def op4_jaccard_join(spark, sf):
 @query()
 def op3_language_model(spark, sf):
     return language_model.score_texts(table(spark, sf, "documents").select("doc_id", "text"), held_out(7, 2))
+
+
+@query()
+def op2_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text")).drop("kept")
