@@ -28,12 +28,34 @@ def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
     first = np.zeros(n, np.uint64)
     for i in range(8):
         first = (first << np.uint64(8)) | np.roll(text, -i)
-    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
+    rank, order = _ranked(first)
     known = 8
-    while known < depth and int(rank.max()) < n - 1:
-        rank = np.unique(rank * n + np.roll(rank, -known), return_inverse=True)[1].astype(np.int64)
+    while known < depth and int(rank[order[-1]]) < n - 1:
+        # Only places that still share their rank are sorted again, by the rank of what follows them.
+        tied = np.zeros(n, bool)
+        same = rank[order[1:]] == rank[order[:-1]]
+        tied[1:] = same
+        tied[:-1] |= same
+        at = np.flatnonzero(tied)
+        places = order[at]
+        key = rank[places] * n + rank[(places + known) % n]
+        again = np.argsort(key)
+        order[at] = places[again]
+        fresh = np.ones(n, bool)
+        fresh[1:] = ~same
+        key = key[again]
+        fresh[at[1:]] |= key[1:] != key[:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh) - 1
         known *= 2
-    return np.argsort(rank, kind="stable")
+    return order
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.append(True, np.diff(key[order]) != 0)) - 1
+    return rank, order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -48,17 +70,29 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     before = text[order - 1]
     step = np.empty(n, np.int64)
     step[np.argsort(before, kind="stable")] = np.arange(n)
+    first = np.sort(before)
+    byte_changes = first[1:] != first[:-1]
     settled = np.zeros(n + 1, bool)
     settled[[0, n]] = True
     low, high = np.array([0]), np.array([n])
     for level in range(least):
         size = high - low
         place = flat.ranges(low, size)
-        key = np.repeat(np.arange(len(low)) << 8, size) | before[place]
-        by_key = np.argsort(key, kind="stable")
-        key, place = key[by_key], place[by_key]
-        opens = np.append(0, np.flatnonzero(np.diff(key)) + 1)
-        new_low, new_high = step[place[opens]], step[place[np.append(opens[1:], len(place)) - 1]] + 1
+        owner = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        if 8 * len(place) > n:
+            # Most places take part: put each interval's number where its members step to, and read off the runs.
+            there = np.full(n, -1, np.int32)
+            there[step[place]] = owner
+            change = np.flatnonzero((there[1:] != there[:-1]) | byte_changes) + 1
+            edges = np.concatenate([[0], change, [n]])
+            inside = there[edges[:-1]] >= 0
+            new_low, new_high = edges[:-1][inside], edges[1:][inside]
+        else:
+            moved = step[place]
+            by_step = np.argsort(moved)
+            moved, owner = moved[by_step], owner[by_step]
+            opens = np.append(0, np.flatnonzero((np.diff(moved) != 1) | (np.diff(owner) != 0) | byte_changes[moved[:-1]]) + 1)
+            new_low, new_high = moved[opens], moved[np.append(opens[1:], len(moved)) - 1] + 1
         fresh = ~settled[new_high]
         if level == 0:
             settled[new_high] = True
