@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 REDACTED = "[REDACTED]"
 REDACTED_LITERAL = "'[REDACTED_LITERAL]'"
 SENSITIVE_KEY = r"(?i)(password|passwd|secret|token|api[_-]?key|credential|private[_-]?key)"
-SQL_LITERAL = r"'[^']*+(?:''[^']*+)*'"
+SQL_LITERAL = r"'[^']*+'"
 SQL_TABLE = r"(?i)\b(?:from|join)\s+([A-Za-z0-9_$\{\}.]+)"
 ERROR_LIMIT = 1000
 
@@ -31,8 +31,12 @@ def strip_space(text: Column) -> Column:
 
 
 def redact_sql_literals(text: Column) -> Column:
-    """Replace each quoted SQL string; a doubled quote stays inside its string."""
-    return F.regexp_replace(text, SQL_LITERAL, REDACTED_LITERAL)
+    """Replace each quoted SQL string; a doubled quote stays inside its string.
+
+    A string with doubled quotes is a run of plain ones: each part is emptied, then the run is replaced. Neither
+    pattern recurses, however long the text; a last quote without an end stays.
+    """
+    return F.regexp_replace(F.regexp_replace(text, SQL_LITERAL, "''"), "(?:'')++", REDACTED_LITERAL)
 
 
 def sql_digest(text: Column) -> Column:
@@ -127,19 +131,32 @@ def decode_responses(df: DataFrame, column: str) -> DataFrame:
 
 
 def redact_keys(df: DataFrame) -> DataFrame:
-    """Hide every typed column, struct field or map entry whose name looks like a secret, at any depth."""
+    """Hide every column, struct field, map entry or VARIANT key whose name looks like a secret, at any depth.
+
+    Maps with text keys come back with text values (nested values as JSON), so that the mark fits.
+    """
     secret = re.compile(SENSITIVE_KEY)
 
+    def as_text(value: Column, dtype: T.DataType) -> Column:
+        if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+            return F.to_json(rebuild(value, dtype))
+        return value if isinstance(dtype, T.StringType) else value.cast("string")
+
     def rebuild(value: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StructType):
             parts = [field(value[f.name], f).alias(f.name) for f in dtype.fields]
             return F.when(value.isNotNull(), F.struct(*parts))
+        if isinstance(dtype, T.VariantType):
+            return F.parse_json(redact_keys_json(F.to_json(value)))
+        if "variant" in dtype.simpleString():
+            return F.from_json(redact_keys_json(F.to_json(value)), dtype)
         if isinstance(dtype, T.ArrayType):
             return F.transform(value, lambda v: rebuild(v, dtype.elementType))
-        if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
-            return F.transform_values(value, lambda k, v: F.when(k.rlike(SENSITIVE_KEY), REDACTED).otherwise(v))
+        if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+            shown = lambda k, v: F.when(k.rlike(SENSITIVE_KEY), REDACTED).otherwise(as_text(v, dtype.valueType))
+            return F.transform_values(value, shown)
         if isinstance(dtype, T.MapType):
-            return F.transform_values(value, lambda k, v: F.when(~k.rlike(SENSITIVE_KEY), rebuild(v, dtype.valueType)))
+            return F.transform_values(value, lambda k, v: rebuild(v, dtype.valueType))
         return value
 
     def field(value: Column, f: T.StructField) -> Column:
