@@ -7,6 +7,7 @@ file yields an ``error`` item instead of failing the corpus.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache, reduce
 
 from pyspark import SparkContext
@@ -30,10 +31,17 @@ ITEM_FIELDS = {
     "is_endpoint": "boolean", "config": "map<string,string>", "source_sha256": "string",
 }
 
+
+
+def _repeatable(schema: str) -> str:
+    """The schema with every text leaf as an array, since an element may occur again; the first one counts."""
+    return re.sub(r": STRING\b", ": ARRAY<STRING>", schema)
+
+
 _HOPS = "ARRAY<STRUCT<hop: ARRAY<STRUCT<`from`: STRING, `to`: STRING, enabled: STRING>>>>"
 _PARAMETERS = "ARRAY<STRUCT<parameter: ARRAY<STRUCT<name: STRING, default_value: STRING, `default`: STRING, description: STRING>>>>"
 _INFO = f"info STRUCT<name: STRING, parameters: {_PARAMETERS}>"
-HOP_SCHEMA = (
+HOP_SCHEMA = _repeatable(
     f"{_INFO}, transform ARRAY<STRUCT<name: STRING, type: STRING, description: STRING, connection: STRING, "
     "`schema`: STRING, `table`: STRING, sql: STRING, fields: ARRAY<STRUCT<field: ARRAY<STRUCT<name: STRING, "
     f"stream_name: STRING, column_name: STRING, type: STRING>>>>>>, `order` {_HOPS}, _bad STRING"
@@ -42,14 +50,14 @@ _KTR_FIELDS = (
     "ARRAY<STRUCT<field: ARRAY<STRUCT<name: STRING, field_name: STRING, rename: STRING, column_name: STRING, "
     "type: STRING, calculation: STRING, formula: STRING>>>>"
 )
-KTR_SCHEMA = (
+KTR_SCHEMA = _repeatable(
     f"{_INFO}, parameters {_PARAMETERS}, connection ARRAY<STRUCT<name: STRING, type: STRING, server: STRING, "
     "database: STRING, port: STRING>>, step ARRAY<STRUCT<name: STRING, type: STRING, description: STRING, "
     f"connection: STRING, `schema`: STRING, `table`: STRING, lookup: STRUCT<`table`: STRING, fields: {_KTR_FIELDS}>, "
     f"sql: STRING, fields: {_KTR_FIELDS}>>, `order` {_HOPS}, _bad STRING"
 )
-KJB_SCHEMA = (
-    f"name STRING, {_INFO}, parameters {_PARAMETERS}, entries ARRAY<STRUCT<entry: ARRAY<STRUCT<name: STRING, "
+KJB_SCHEMA = _repeatable(
+    f"name ARRAY<STRING>, {_INFO}, parameters {_PARAMETERS}, entries ARRAY<STRUCT<entry: ARRAY<STRUCT<name: STRING, "
     "type: STRING, description: STRING, filename: STRING, transname: STRING, jobname: STRING>>>>, "
     f"hops {_HOPS}, `order` {_HOPS}, _bad STRING"
 )
@@ -58,7 +66,7 @@ JSON_SCHEMA = (
     "name: STRING, type: STRING, description: STRING, connection: STRING, `schema`: STRING, `table`: STRING, "
     "role: STRING, sql: VARIANT, fields: ARRAY<VARIANT>>>, hops ARRAY<STRUCT<`from`: STRING, `to`: STRING, enabled: VARIANT>>"
 )
-_VARIABLES = "variables ARRAY<STRUCT<variable: ARRAY<STRUCT<name: STRING, value: STRING, scope: STRING>>>>"
+_VARIABLES = _repeatable("variables ARRAY<STRUCT<variable: ARRAY<STRUCT<name: STRING, value: STRING, scope: STRING>>>>")
 _XML = {"columnNameOfCorruptRecord": "_bad", "ignoreSurroundingSpaces": "false"}
 
 
@@ -108,8 +116,8 @@ def classify_role(step_type: Column, fmt: Column, explicit: Column | None = None
 
 
 def _text(value: Column, default: Column | str = "") -> Column:
-    """Stripped element text; the default stands for an absent element, not for an empty one."""
-    return F.coalesce(strip_space(value), F.lit(default) if isinstance(default, str) else default)
+    """Stripped text of the first such element; the default stands for an absent element, not for an empty one."""
+    return F.coalesce(strip_space(F.get(value, F.lit(0))), F.lit(default) if isinstance(default, str) else default)
 
 
 def _filled(*values: Column) -> Column:
@@ -255,7 +263,7 @@ def _ktr_doc(p: Column) -> Column:
         sid = ordinal("step", i)
         table = _filled(_text(t["table"]), _text(t["lookup"]["table"]))
         fields = _fields(F.concat(_inner(t["fields"], "field"), _inner(t["lookup"]["fields"], "field")), field)
-        return _xml_step(t, sid, sid, table, "ktr", refs=_array(sql_tables(t["sql"])), fields=fields)
+        return _xml_step(t, sid, sid, table, "ktr", refs=_array(sql_tables(F.get(t["sql"], F.lit(0)))), fields=fields)
 
     both = F.concat(_inner(p["info"]["parameters"], "parameter"), _inner(p["parameters"], "parameter"))
     return _doc(
@@ -290,7 +298,7 @@ def _json_doc(p: Column) -> Column:
         return F.try_variant_get(v, path, "string")
 
     def connection(c, i):
-        rest = F.map_filter(c.cast("map<string,string>"), lambda k, _: ~k.isin("name", "type"))
+        rest = F.map_filter(F.try_variant_get(c, "$", "map<string,string>"), lambda k, _: ~k.isin("name", "type"))
         values = {
             "at": i, "name": F.coalesce(_filled(got(c, "$.name")), _loc("connection-", i)),
             "type": F.coalesce(_filled(got(c, "$.type")), F.lit("unknown")), "config": rest,
@@ -477,6 +485,43 @@ def _items() -> Column:
     )
 
 
+def _markup_only(text: Column) -> Column:
+    """The document with CDATA escaped and comments removed: any tag left in it is an element."""
+
+    def escaped(piece: Column, i: Column) -> Column:
+        end = F.instr(piece, "]]>")
+        plain = F.left(piece, end - 1)
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            plain = F.replace(plain, F.lit(mark), F.lit(name))
+        return F.when((i == 0) | (end == 0), piece).otherwise(F.concat(plain, F.substr(piece, end + 3)))
+
+    joined = F.array_join(F.transform(F.split(text, r"<!\[CDATA\["), escaped), "")
+    return F.regexp_replace(joined, r"(?s)<!--.*?-->", "")
+
+
+def _is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
+def _has_shape(doc: Column) -> Column:
+    """Whether the sections of a JSON document that are there are lists of objects, with fields of texts or objects."""
+
+    def objects(name: str) -> Column:
+        absent = F.try_variant_get(doc, f"$.{name}", "variant").isNull()
+        return absent | F.coalesce(F.forall(F.try_variant_get(doc, f"$.{name}", "array<variant>"), _sure_object), F.lit(False))
+
+    def fields(step: Column) -> Column:
+        found = F.try_variant_get(step, "$.fields", "array<variant>")
+        return F.coalesce(F.forall(found, lambda f: _sure_object(f) | F.coalesce(F.schema_of_variant(f) == "STRING", F.lit(False))), F.lit(True))
+
+    steps = F.try_variant_get(doc, "$.steps", "array<variant>")
+    return objects("connections") & objects("steps") & objects("hops") & F.coalesce(F.forall(steps, fields), F.lit(True))
+
+
+def _sure_object(value: Column) -> Column:
+    return F.coalesce(_is_object(value), F.lit(False))
+
+
 def extract(artifacts: DataFrame) -> DataFrame:
     """Discovered items of every artifact: one row per item with its position, evidence id and attributes.
 
@@ -484,7 +529,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
     """
     fmt, text = F.col("fmt"), F.col("content")
     built = _expressions(artifacts.sparkSession.sparkContext.applicationId)
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    bare = _markup_only(text)
     blocks = F.regexp_extract_all(bare, F.lit(r"(?s)(<variables(?:\s[^>]*)?>.*?</variables>)"), 1)
     is_xml = fmt.isin("hop", "ktr", "kjb")
     wrapped = F.concat(F.lit("<all>"), F.array_join(blocks, ""), F.lit("</all>"))
@@ -493,7 +538,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
             "_hop": F.when(fmt == "hop", F.from_xml(text, HOP_SCHEMA, _XML)),
             "_ktr": F.when(fmt == "ktr", F.from_xml(text, KTR_SCHEMA, _XML)),
             "_kjb": F.when(fmt == "kjb", F.from_xml(text, KJB_SCHEMA, _XML)),
-            "_is_doc": F.schema_of_variant(F.when(fmt == "json", F.try_parse_json(text))).startswith("OBJECT"),
+            "_value": F.when(fmt == "json", F.try_parse_json(text)),
             "_root": F.when(
                 fmt == "hop", F.regexp_extract(bare, r"(?s)^\s*(?:<\?.*?\?>|<!DOCTYPE[^>]*>|\s)*<([^\s/>]+)", 1)
             ),
@@ -501,13 +546,15 @@ def extract(artifacts: DataFrame) -> DataFrame:
             "_empty": F.trim(text) == "",
         }
     )
+    is_doc = F.coalesce(_is_object(F.col("_value")), F.lit(False))
     malformed = F.coalesce(F.col("_hop._bad"), F.col("_ktr._bad"), F.col("_kjb._bad")).isNotNull()
     checked = parsed.withColumns(
         {
-            "_json": F.when((fmt == "json") & F.col("_is_doc"), F.from_json(text, JSON_SCHEMA)),
+            "_json": F.when((fmt == "json") & is_doc, F.from_json(text, JSON_SCHEMA)),
             "error": F.when(F.col("error").isNotNull(), F.col("error"))
             .when(is_xml & (malformed | F.col("_empty")), F.lit("malformed XML"))
-            .when((fmt == "json") & ~F.coalesce("_is_doc", F.lit(False)), F.lit("not a JSON object"))
+            .when((fmt == "json") & ~is_doc, F.lit("not a JSON object"))
+            .when((fmt == "json") & ~_has_shape(F.col("_value")), F.lit("unexpected JSON shape"))
             .when(
                 (fmt == "hop") & ~F.col("_root").isin("pipeline", "workflow"),
                 F.concat(F.lit("unsupported Hop root element: "), "_root"),
@@ -515,7 +562,7 @@ def extract(artifacts: DataFrame) -> DataFrame:
         }
     )
 
-    from_info = F.coalesce(strip_space(F.coalesce(F.col("_hop.info.name"), F.col("_ktr.info.name"))), F.col("stem"))
+    from_info = _text(F.coalesce(F.col("_hop.info.name"), F.col("_ktr.info.name")), F.col("stem"))
     job_name = F.coalesce(_filled(_text(F.col("_kjb.name"))), _text(F.col("_kjb.info.name"), F.col("stem")))
     cleaned = checked.select(
         "artifact_id", "path", "fmt", "source_sha256", "error", "_root", "_json",
