@@ -49,7 +49,7 @@ def test_only_unfinished_attempts_are_stale(spark, fed):
 
 
 def test_repeated_attempts_enter_once(spark, fed):
-    taken = lifecycle.run_available(lifecycle.stream_dedupe(fed, "10 hours", "changed_at"), "intake", 2)
+    taken = lifecycle.run_available(lifecycle.stream_dedupe(fed), "intake", 2)
     assert taken.count() == 1
 
 

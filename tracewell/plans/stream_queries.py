@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tracewell.functions.numeric import epoch_seconds
@@ -29,20 +31,30 @@ CHANGE_COLUMNS = [
 USER_CHANGES_SQL = f"changes AS (SELECT {', '.join(CHANGE_COLUMNS)} FROM events)"
 
 
-def _stream(spark, stored, name):
-    """Store rows as files and read them as a stream."""
-    path = work_path(spark, name)
-    stored.write.parquet(path)
-    return spark.readStream.schema(stored.schema).parquet(path)
+BATCHES = 4
 
 
 def _changes(spark, sf):
-    changes = load(spark, sf, "events").selectExpr(*CHANGE_COLUMNS)
-    return _stream(spark, changes.repartitionByRange(4, "changed_at").sortWithinPartitions("changed_at"), "changes")
+    return load(spark, sf, "events").selectExpr(*CHANGE_COLUMNS)
+
+
+def _time_slice(changes):
+    """Number of the slice of a change when all of them arrive in BATCHES parts, in order of time."""
+    cuts = changes.select(F.unix_micros("changed_at").alias("t")).approxQuantile("t", [i / BATCHES for i in range(1, BATCHES)], 0.01)
+    return sum(((F.unix_micros("changed_at") > int(c)).cast("int") for c in cuts), F.lit(0))
+
+
+def _run(spark, stored, build, name, part=None):
+    """Let rows arrive as files, in BATCHES parts where ``part`` numbers them, and run the stream after each."""
+    path = work_path(spark, name)
 
+    def arrive(i):
+        (stored if part is None else stored.where(part == i)).write.mode("append").parquet(path)
 
-def _run(spark, stream, name):
-    return lifecycle.run_available(stream, name, spark.sparkContext.defaultParallelism)
+    arrive(0)
+    stream = build(spark.readStream.schema(stored.schema).parquet(path))
+    later = [partial(arrive, i) for i in range(1, 1 if part is None else BATCHES)]
+    return lifecycle.run_available(stream, name, spark.sparkContext.defaultParallelism, later)
 
 
 @query(
@@ -56,7 +68,8 @@ def _run(spark, stream, name):
  FROM seen WHERE previous IS NULL OR status <> previous"""
 )
 def stream_lifecycle(spark, sf):
-    events = _run(spark, lifecycle.stream_lifecycle(_changes(spark, sf)), "lifecycle")
+    changes = _changes(spark, sf)
+    events = _run(spark, changes, lifecycle.stream_lifecycle, "lifecycle", _time_slice(changes))
     return events.withColumn("event_at", epoch_seconds(F.col("event_at")))
 
 
@@ -71,7 +84,7 @@ def stream_lifecycle(spark, sf):
  WHERE started_at + INTERVAL 30 MINUTE <= (SELECT max(changed_at) FROM changes) - INTERVAL 10 MINUTE"""
 )
 def stream_stale(spark, sf):
-    stale = _run(spark, lifecycle.stream_stale(_changes(spark, sf)), "stale")
+    stale = _run(spark, _changes(spark, sf), lifecycle.stream_stale, "stale")
     return stale.withColumn("started_at", epoch_seconds(F.col("started_at")))
 
 
@@ -83,11 +96,17 @@ def stream_stale(spark, sf):
  GROUP BY 1, 2, 3"""
 )
 def stream_status_counts(spark, sf):
-    counts = _run(spark, lifecycle.stream_status_counts(_changes(spark, sf), "1 hour", "10 minutes"), "counts")
+    changes = _changes(spark, sf)
+    count = partial(lifecycle.stream_status_counts, window="1 hour", delay="10 minutes")
+    counts = _run(spark, changes, count, "counts", _time_slice(changes))
     return counts.withColumns({c: epoch_seconds(F.col(c)) for c in ("window_start", "window_end")})
 
 
 @query(with_sql(LOG_SQL) + "SELECT DISTINCT pipeline_name, environment_name, run_id, attempt_number FROM exec_log")
 def stream_dedupe(spark, sf):
     log = exec_log(spark, sf).select("pipeline_name", "environment_name", "run_id", "attempt_number", "started_at")
-    return _run(spark, lifecycle.stream_dedupe(_stream(spark, log, "attempts"), "1 hour"), "dedupe").drop("started_at")
+    # Every part spans all times, and every fifth run arrives again in the part after its own.
+    part = F.pmod(F.xxhash64("run_id"), F.lit(BATCHES))
+    again = log.where(F.pmod(F.xxhash64("run_id", F.lit(1)), F.lit(5)) == 0).withColumn("part", F.pmod(part + 1, F.lit(BATCHES)))
+    arriving = log.withColumn("part", part).unionByName(again)
+    return _run(spark, arriving, lifecycle.stream_dedupe, "dedupe", F.col("part")).drop("started_at", "part")

@@ -5,7 +5,7 @@ State is kept per attempt in the state store, so it is spread over as many tasks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
@@ -116,9 +116,13 @@ def stream_status_counts(changes: DataFrame, window: str, delay: str) -> DataFra
     )
 
 
-def stream_dedupe(attempts: DataFrame, delay: str, at: str = "started_at") -> DataFrame:
-    """Take each (pipeline, environment, run, attempt) once within the watermark's reach."""
-    return attempts.withWatermark(at, delay).dropDuplicatesWithinWatermark(ATTEMPT_KEY)
+def stream_dedupe(attempts: DataFrame) -> DataFrame:
+    """Take each (pipeline, environment, run, attempt) once, however late it arrives.
+
+    The state store keeps every key, as a unique index would. A watermark would free keys, but it would also drop
+    late attempts that were never seen and store a late repeat again.
+    """
+    return attempts.dropDuplicates(ATTEMPT_KEY)
 
 
 @contextmanager
@@ -133,10 +137,13 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def run_available(stream: DataFrame, name: str, state_partitions: int | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, name: str, state_partitions: int | None = None, arrivals: Sequence[Callable[[], None]] = ()
+) -> DataFrame:
     """Process everything that has arrived, append it to files in the shared folder, and read them back.
 
-    The file sink and the checkpoint make each batch count once, also after a restart.
+    The file sink and the checkpoint make each batch count once, also after a restart. Each of ``arrivals`` brings
+    more input once the input before it is done; the stream then goes on from its checkpoint.
     """
     spark = stream.sparkSession
     path, state = work_path(spark, name), work_path(spark, f"{name}-state")
@@ -144,13 +151,15 @@ def run_available(stream: DataFrame, name: str, state_partitions: int | None = N
     if state_partitions:
         values["spark.sql.shuffle.partitions"] = str(state_partitions)
     with _settings(spark, values):
-        running = (
+        writer = (
             stream.writeStream.format("parquet")
             .option("path", path)
             .option("checkpointLocation", state)
             .outputMode("append")
             .trigger(availableNow=True)
-            .start()
         )
-        running.awaitTermination()
+        writer.start().awaitTermination()
+        for arrive in arrivals:
+            arrive()
+            writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
