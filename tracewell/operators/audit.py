@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
+from threading import Thread
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tracewell.functions.text import message_or
+from tracewell.operators.keyed import sole_by_key
 from tracewell.scale import largest_group, running, spread_join
 
 ATTEMPT_KEY = ["pipeline_name", "environment_name", "run_id", "attempt_number"]
@@ -85,11 +87,9 @@ def start_attempts(requests: DataFrame, as_of: Column) -> DataFrame:
 def finalize_attempts(log: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
     """Write status, counts and message of matching attempts; unmatched outcomes are not inserted.
 
-    The finish time is set only when the status changes into a final one. ``outcomes`` holds an attempt once.
+    The finish time is set only when the status changes into a final one. Two outcomes of one attempt are an error.
     """
-    new = outcomes.select(
-        *ATTEMPT_KEY, F.struct("status", "records_read", "records_written", "error_message").alias("_new")
-    )
+    new = sole_by_key(outcomes, ATTEMPT_KEY, ["status", "records_read", "records_written", "error_message"])
     joined = spread_join(log, new, ATTEMPT_KEY, "left")
     hit = F.col("_new").isNotNull()
     closes = hit & F.col("_new.status").isin("SUCCESS", "FAILED") & ~F.col("_new.status").eqNullSafe(F.col("status"))
@@ -277,24 +277,36 @@ def current_log(changes: DataFrame) -> DataFrame:
     )
 
 
+def _observed(seen: Observation, patience: float) -> int:
+    """Rows counted by an action that has ended; waiting in vain means that no action read them."""
+    found: list[int] = []
+    waiter = Thread(target=lambda: found.append(seen.get["rows"]), daemon=True)
+    waiter.start()
+    waiter.join(patience)
+    if not found:
+        raise RuntimeError("no action read the counted rows: write must run the job it is given")
+    return found[0]
+
+
 def audited_run(
     spark: SparkSession,
     identity: Mapping[str, Any],
     job: Callable[[Callable[[DataFrame], DataFrame]], DataFrame],
     write: Callable[[DataFrame], None],
     changes_path: str,
+    patience: float = 60.0,
 ) -> dict[str, Any]:
     """Run ``job``, write its rows, and append the attempt's status changes to ``changes_path``.
 
-    ``job`` gets a function that counts the rows of an input it is applied to. Counts come from the same pass
-    as the data. A failure is recorded and raised again; when even that record fails, both errors are raised.
+    ``job`` gets a function that counts the rows of each input it is applied to; the counts add up. Counts come from
+    the same pass as the data, so a ``write`` that runs no action fails after ``patience`` seconds without a count. A failure is recorded and raised again; when even that record fails, both errors are raised.
     """
-    seen_in, seen_out = Observation("rows_in"), Observation("rows_out")
-    counted: list[bool] = []
+    seen_in: list[Observation] = []
+    seen_out = Observation("rows_out")
 
     def count_input(df: DataFrame) -> DataFrame:
-        counted.append(True)
-        return df.observe(seen_in, F.count(F.lit(1)).alias("rows"))
+        seen_in.append(Observation(f"rows_in_{len(seen_in)}"))
+        return df.observe(seen_in[-1], F.count(F.lit(1)).alias("rows"))
 
     def record(status: str, read: int, written: int, message: str | None) -> None:
         row = [identity.get(f.name) for f in CHANGE_SCHEMA.fields[:6]]
@@ -305,8 +317,8 @@ def audited_run(
     done, rows_in, rows_out = False, 0, 0
     try:
         write(job(count_input).observe(seen_out, F.count(F.lit(1)).alias("rows")))
-        rows_out = seen_out.get["rows"]
-        rows_in = seen_in.get["rows"] if counted else rows_out
+        rows_out = _observed(seen_out, patience)
+        rows_in = sum(_observed(o, patience) for o in seen_in) if seen_in else rows_out
         done = True
         record("SUCCESS", rows_in, rows_out, None)
     except Exception as failure:

@@ -126,3 +126,13 @@ def lookup(df: DataFrame, ref: DataFrame, on: Sequence[str], values: dict[str, o
         c: F.when(F.col("_hit"), F.col(c)).otherwise(F.lit(d)) for c, d in values.items() if d is not None
     }
     return joined.withColumns(fills).drop("_hit") if fills else joined.drop("_hit")
+
+
+def sole_by_key(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Keys and ``_new``, the struct of their values; rows with a null key match nothing and go.
+
+    A key that occurs twice raises when its values are read, since neither row could be said to win.
+    """
+    found = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.any_value(F.struct(*values)).alias("_one"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.concat(F.lit("key occurs more than once: "), F.to_json(F.struct(*keys))))
+    return found.select(*keys, F.when(F.col("_n") == 1, F.col("_one")).otherwise(twice).alias("_new"))

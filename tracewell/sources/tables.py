@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.operators.keyed import dedupe_last
+from tracewell.operators.keyed import dedupe_last, sole_by_key
 from tracewell.scale import spread_join
 
 
@@ -69,11 +69,13 @@ def update_by_key(
 ) -> DataFrame:
     """The target with ``values`` overwritten where all keys match; unmatched updates are not inserted.
 
-    With ``order`` given, the last update of a key wins, as if they had been applied one by one.
+    With ``order`` given, the last update of a key wins, as if they had been applied one by one. Without it, a key
+    with two updates is an error.
     """
-    new = updates.select(*keys, F.struct(*values).alias("_new"), *(order or []))
     if order:
-        new = dedupe_last(new, keys, order)
+        new = dedupe_last(updates.select(*keys, F.struct(*values).alias("_new"), *order), keys, order)
+    else:
+        new = sole_by_key(updates, keys, values)
     joined = spread_join(target, new.select(*keys, "_new"), keys, "left")
     return joined.select(
         *[
