@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import audit, results
+from tracewell.operators import audit, migration, results
 from tracewell.session import work_path
 from tracewell.sources.artifacts import extract, route_artifacts
 from tracewell.sources.tables import update_by_key
@@ -128,3 +128,9 @@ def test_late_attempts_enter_and_repeats_do_not(spark):
     stream = lifecycle.stream_dedupe(spark.readStream.schema(schema).parquet(path))
     taken = lifecycle.run_available(stream, "taken", 2, [lambda: bring("c", "a"), lambda: bring("late"), lambda: bring("b", "c")])
     assert sorted(r["run_id"] for r in taken.collect()) == ["a", "b", "c", "late"]
+
+
+def test_digest_tells_where_a_value_ends(spark):
+    rows = [("x\x1f=y", "z"), ("x", "y\x1f=z"), ("x", None), ("x", "")]
+    digests = {migration.dataset_digest(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first()["digest"] for r in rows}
+    assert len(digests) == len(rows)

@@ -163,7 +163,9 @@ def reconcile(spark, sf):
     return facts.withColumns({c: F.col(c).cast("double") for c in ("source", "target")})
 
 
-ROW_SQL = "sha256('=' || o_custkey || chr(31) || '=' || o_orderkey || chr(31) || '=' || {status})"
+ROW_SQL = "sha256({})".format(
+    " || ".join(f"'=' || length(CAST({c} AS VARCHAR)) || ':' || {c}" for c in ("o_custkey", "o_orderkey", "{status}"))
+)
 
 
 def _digest_sql(status: str = "o_orderstatus") -> str:
