@@ -29,7 +29,7 @@ _powers: list[np.ndarray] = []
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse, modulo 2**64, for i below n at least."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 2 * PIECE_BYTES)
+        n = 1 << max(n - 1, 1).bit_length()
         with np.errstate(over="ignore"):
             up = np.full(n, BASE, np.uint64)
             down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)

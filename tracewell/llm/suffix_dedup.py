@@ -15,7 +15,8 @@ from tracewell.session import written
 
 GRAM = 32
 BLOCK_BYTES = 2 << 20
-BROADCAST_ROWS = 100_000
+INDEX_BYTES = 1 << 20
+BROADCAST_ROWS, BROADCAST_ENTRIES = 100_000, 2_000_000
 PLACE_BITS = 28
 
 REGION = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("rk", pa.int64())])
@@ -156,7 +157,7 @@ def _regions(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tupl
 
 def _indexed(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in flat.pieces(batches, "text"):
+        for part in flat.pieces(batches, "text", INDEX_BYTES):
             data, offsets = flat.texts(part.column("text"))
             raw = data.tobytes()
             found: list[list[dict]] = [[] for _ in range(part.num_rows)]
@@ -172,9 +173,12 @@ def _indexed(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, mark long, n_bytes long, sha binary, regions array<struct<start long, n long, fp long, rk long>>")
 
 
-def _with(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Documents joined to ``rows`` by id and text hash; only a small side is broadcast."""
-    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+def _with(docs: DataFrame, rows: DataFrame, lists: str) -> DataFrame:
+    """Documents joined to ``rows`` by id and text hash; ``rows`` are broadcast only where both their number and the
+    entries of their ``lists`` column are bounded, which makes about 100 MB at most."""
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(lists)), F.lit(0)).alias("entries")).first()
+    small = size["rows"] <= BROADCAST_ROWS and size["entries"] <= BROADCAST_ENTRIES
+    rows = F.broadcast(rows) if small else rows.hint("merge")
     return docs.join(rows, docs["doc"].eqNullSafe(rows["doc"]) & (docs["mark"] == rows["mark"])).drop(rows["doc"]).drop(rows["mark"])
 
 
@@ -187,7 +191,7 @@ def _cut_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 out += [(c["fp"], c["rk"], c["n"], c["m"], raw[c["start"] : c["start"] + c["n"] + least - 1]) for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fp", "rk", "n", "m", "region"])
 
-    return _with(docs, wanted).select("text", "cuts").mapInArrow(run, "fp long, rk long, n long, m long, region binary").dropDuplicates(["fp", "rk"])
+    return _with(docs, wanted, "cuts").select("text", "cuts").mapInArrow(run, "fp long, rk long, n long, m long, region binary").dropDuplicates(["fp", "rk"])
 
 
 def _searched(regions: DataFrame, least: int) -> DataFrame:
@@ -266,7 +270,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     span = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["end"] + (least - 1)).alias("end")))
     spans = places.join(hits, ["fp", "rk"]).select("doc", "mark", F.explode(span).alias("span")).distinct()
     marked = written(spans.groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
-    dirty = _removed(_with(rows, marked).select("doc", "text", "spans"))
+    dirty = _removed(_with(rows, marked, "spans").select("doc", "text", "spans"))
     keys = marked.select(F.col("doc").alias("_d"), F.col("mark").alias("_m"))
     clean = index.join(keys, index["doc"].eqNullSafe(keys["_d"]) & (index["mark"] == keys["_m"]), "left_anti").select(
         "doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"),
