@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.llm import flat
-from tracewell.session import written
+from tracewell.session import work_path, written
 
 GRAM = 32
 BLOCK_BYTES = 2 << 20
 INDEX_BYTES = 1 << 20
-BROADCAST_ROWS, BROADCAST_ENTRIES = 100_000, 2_000_000
 PLACE_BITS = 28
 
 REGION = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("rk", pa.int64())])
@@ -156,7 +157,10 @@ def _regions(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tupl
 
 
 def _indexed(docs: DataFrame, least: int) -> DataFrame:
+    """Per row a number of its own in ``at``, its text, length and hash, and the regions of its places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for part in flat.pieces(batches, "text", INDEX_BYTES):
             data, offsets = flat.texts(part.column("text"))
             raw = data.tobytes()
@@ -166,23 +170,26 @@ def _indexed(docs: DataFrame, least: int) -> DataFrame:
                 found[doc].append({"start": start - int(offsets[doc]), "n": n, "fp": fp, "rk": rk})
             sha = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("mark"), pa.array(np.diff(offsets)), pa.array(sha), pa.array(found, pa.list_(REGION))],
-                ["doc", "mark", "n_bytes", "sha", "regions"],
+                [pa.array(np.arange(at, at + part.num_rows)), part.column("doc"), part.column("text"), pa.array(np.diff(offsets)), pa.array(sha), pa.array(found, pa.list_(REGION))],
+                ["at", "doc", "text", "n_bytes", "sha", "regions"],
             )
+            at += part.num_rows
 
-    return docs.mapInArrow(run, "doc long, mark long, n_bytes long, sha binary, regions array<struct<start long, n long, fp long, rk long>>")
+    return docs.mapInArrow(run, "at long, doc long, text string, n_bytes long, sha binary, regions array<struct<start long, n long, fp long, rk long>>")
 
 
-def _with(docs: DataFrame, rows: DataFrame, lists: str) -> DataFrame:
-    """Documents joined to ``rows`` by id and text hash; ``rows`` are broadcast only where both their number and the
-    entries of their ``lists`` column are bounded, which makes about 100 MB at most."""
-    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(lists)), F.lit(0)).alias("entries")).first()
-    small = size["rows"] <= BROADCAST_ROWS and size["entries"] <= BROADCAST_ENTRIES
-    rows = F.broadcast(rows) if small else rows.hint("merge")
-    return docs.join(rows, docs["doc"].eqNullSafe(rows["doc"]) & (docs["mark"] == rows["mark"])).drop(rows["doc"]).drop(rows["mark"])
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once in buckets of ``key``, so that joins by it never move the stored texts."""
+    spark = df.sparkSession
+    name = f"suffix_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", work_path(spark, "texts")).option("compression", "zstd")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
-def _cut_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+def _cut_texts(texts: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in flat.pieces(batches, "text"):
             out = []
@@ -191,7 +198,7 @@ def _cut_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 out += [(c["fp"], c["rk"], c["n"], c["m"], raw[c["start"] : c["start"] + c["n"] + least - 1]) for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fp", "rk", "n", "m", "region"])
 
-    return _with(docs, wanted, "cuts").select("text", "cuts").mapInArrow(run, "fp long, rk long, n long, m long, region binary").dropDuplicates(["fp", "rk"])
+    return texts.select("text", "cuts").mapInArrow(run, "fp long, rk long, n long, m long, region binary").dropDuplicates(["fp", "rk"])
 
 
 def _searched(regions: DataFrame, least: int) -> DataFrame:
@@ -249,30 +256,28 @@ def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     Every place belongs to the region of its string's anchor, so equal strings start in regions of one fingerprint.
     Regions are folded to distinct ones with a count (by two 64-bit hashes) before they move. A fingerprint with one
     region in all is not repeated; one whose region has only copies is repeated as a whole; the texts of the
-    others are fetched once, and blocks of about BLOCK_BYTES of them are sorted and searched.
+    others are fetched once, and blocks of about BLOCK_BYTES of them are sorted and searched. Texts are stored in
+    buckets of a row number, so that only places, regions and spans are shuffled, at every size alike.
     """
     if least <= GRAM:
         raise ValueError(f"least must be over {GRAM}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    index = written(_indexed(rows, least), "regions")
-    places = index.select("doc", "mark", F.inline("regions"))
-    first = F.min(F.struct("doc", "mark", "start", "n"))
-    folded = places.groupBy("fp", "rk").agg(F.count(F.lit(1)).alias("m"), first.alias("at"))
+    index = _bucketed(_indexed(docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")), least), "at")
+    places = index.select("at", F.inline("regions"))
+    first = F.min(F.struct("at", "start", "n"))
+    folded = places.groupBy("fp", "rk").agg(F.count(F.lit(1)).alias("m"), first.alias("first"))
     by_fp = Window.partitionBy("fp")
     shared = folded.withColumns({"kinds": F.count(F.lit(1)).over(by_fp)}).where("kinds > 1 OR m > 1")
-    shared = written(shared.select("fp", "rk", "m", "kinds", "at.*"), "shared")
-    cut = F.collect_list(F.struct("start", "n", "fp", "rk", "m")).alias("cuts")
-    wanted = written(shared.where("kinds > 1").groupBy("doc", "mark").agg(cut), "wanted")
-    found = _searched(_cut_texts(rows, wanted, least), least).where(F.size("runs") > 0)
+    shared = written(shared.select("fp", "rk", "m", "kinds", "first.*"), "shared")
+    wanted = shared.where("kinds > 1").groupBy("at").agg(F.collect_list(F.struct("start", "n", "fp", "rk", "m")).alias("cuts"))
+    found = _searched(_cut_texts(index.join(wanted.hint("merge"), "at"), least), least).where(F.size("runs") > 0)
     copied = shared.where("kinds = 1").select("fp", "rk", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n").alias("end"))).alias("runs"))
     hits = written(found.unionByName(copied), "hits")
     span = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["end"] + (least - 1)).alias("end")))
-    spans = places.join(hits, ["fp", "rk"]).select("doc", "mark", F.explode(span).alias("span")).distinct()
-    marked = written(spans.groupBy("doc", "mark").agg(F.collect_list("span").alias("spans")), "spans")
-    dirty = _removed(_with(rows, marked, "spans").select("doc", "text", "spans"))
-    keys = marked.select(F.col("doc").alias("_d"), F.col("mark").alias("_m"))
-    clean = index.join(keys, index["doc"].eqNullSafe(keys["_d"]) & (index["mark"] == keys["_m"]), "left_anti").select(
+    spans = places.join(hits, ["fp", "rk"]).select("at", F.explode(span).alias("span"))
+    marked = written(spans.groupBy("at").agg(F.collect_list("span").alias("spans")), "spans")
+    dirty = _removed(index.join(marked.hint("merge"), "at").select("doc", "text", "spans"))
+    clean = index.join(marked.select("at").hint("merge"), "at", "left_anti").select(
         "doc", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"),
         F.lit(None).cast("binary").alias("kept"),
     )
