@@ -6,6 +6,7 @@ Joins are on the artifact together with a name or step, so an artifact's rows sp
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -117,7 +118,7 @@ def column_declarations(fields: DataFrame) -> DataFrame:
     return fields.withColumn("lineage_classification", F.lit(FIELD_DECLARATION))
 
 
-def reachable_pairs(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Pairs (start, node) per artifact; a start reaches itself, and cycles end by themselves.
 
     ``edges`` has artifact_id, from_id, to_id; ``starts`` has artifact_id, step_id. Each round extends only the
@@ -134,7 +135,7 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_00
     found: list[str] = []
     new = first.where(F.col("node").isNotNull()).distinct()
     schema = new.schema
-    for n in range(max_rounds):
+    for n in count():
         path = f"{folder}/round={n}"
         new.write.parquet(path)
         latest = spark.read.schema(schema).parquet(path)
@@ -148,8 +149,6 @@ def reachable_pairs(edges: DataFrame, starts: DataFrame, max_rounds: int = 10_00
             .distinct()
             .join(known, pair, "left_anti")
         )
-    else:
-        raise RuntimeError(f"paths longer than {max_rounds} steps")
     return spark.read.schema(schema).parquet(*found) if found else first.limit(0)
 
 

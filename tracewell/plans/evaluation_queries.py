@@ -224,18 +224,18 @@ def repeatability(spark, sf):
 # Captured answers: one per line item, whose part number decides what is wrong with it.
 CASES = f"SELECT o_orderkey AS k, o_custkey AS c, {FMT.replace('k %', 'o_orderkey %')} AS fmt FROM orders"
 DEFECT = "p % 8"
-SOURCE = "CASE fmt WHEN 'hop' THEN concat('staging.extra_', c % 4) ELSE concat('staging.orders_', c % 7) END"
+SOURCE = "CASE fmt WHEN 'hop' THEN concat('inbox.extra_', c % 4) ELSE concat('inbox.parcels_', c % 7) END"
 BODY = f"""concat(CASE WHEN s % 3 = 0 THEN '```json\\n' ELSE '' END, CASE WHEN {DEFECT} = 6 THEN 'no answer' ELSE concat(
  '{{"pipeline_summary": {{"text": "flow ', k, '", "evidence_refs": ["ev-0001"]}}, "business_logic": [{{"text": "a", "evidence_refs": ["ev-0002"',
- CASE WHEN {DEFECT} = 2 THEN ', "ev-9999"' ELSE '' END, ']}}, {{"text": "b", "evidence_refs": []}}], "sql_explanations": [',
+ CASE WHEN {DEFECT} = 2 THEN ', "ev-7777"' ELSE '' END, ']}}, {{"text": "b", "evidence_refs": []}}], "sql_explanations": [',
  CASE WHEN {DEFECT} = 3 THEN '{{"sql_id": "sql-0042", "text": "q", "evidence_refs": ["ev-0003"]}}'
       WHEN fmt <> 'kjb' THEN '{{"sql_id": "sql-0001", "text": "q", "evidence_refs": ["ev-0003"]}}' ELSE '' END,
  '], "source_target_interpretation": [',
- CASE WHEN {DEFECT} = 4 THEN concat('{{"source": "imaginary.table", "target": "analytics.out_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
-      WHEN fmt <> 'kjb' THEN concat('{{"source": "', {SOURCE}, '", "target": "analytics.out_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
+ CASE WHEN {DEFECT} = 4 THEN concat('{{"source": "nowhere.parcels", "target": "freight.out_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
+      WHEN fmt <> 'kjb' THEN concat('{{"source": "', {SOURCE}, '", "target": "freight.out_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
       ELSE '' END,
- '], "dependency_summary": [{{"from": "', CASE WHEN fmt = 'kjb' THEN 'START' ELSE 'Read Orders' END, '", "to": "',
- CASE WHEN {DEFECT} = 5 THEN 'Nowhere' WHEN fmt = 'kjb' THEN 'Run Flow' ELSE 'Filter Ready' END, '", "text": "y", "evidence_refs": ["ev-0001"]}}]',
+ '], "dependency_summary": [{{"from": "', CASE WHEN fmt = 'kjb' THEN 'START' ELSE 'Scan Parcels' END, '", "to": "',
+ CASE WHEN {DEFECT} = 5 THEN 'Nowhere' WHEN fmt = 'kjb' THEN 'Run Flow' ELSE 'Keep Released' END, '", "text": "y", "evidence_refs": ["ev-0001"]}}]',
  CASE WHEN {DEFECT} = 1 THEN '' ELSE ', "migration_assistance": [], "warnings": []' END, '}}') END, CASE WHEN s % 3 = 0 THEN '\\n```' ELSE '' END)"""
 
 
@@ -261,11 +261,11 @@ answers AS (SELECT case_id, attempt, fmt, known, m[1] AS p, m[2] AS s FROM one J
 judged AS (SELECT case_id, attempt, fmt, CASE WHEN {DEFECT} = 7 THEN 'timeout' END AS transport_error, CASE
  WHEN {DEFECT} IN (6, 7) THEN 'result is not a JSON object'
  WHEN {DEFECT} = 1 THEN 'AI result missing keys: migration_assistance, warnings'
- WHEN NOT known AND {DEFECT} = 2 THEN 'AI result contains unknown evidence refs: [''ev-0001'', ''ev-0002''' || CASE WHEN fmt <> 'kjb' THEN ', ''ev-0003''' ELSE '' END || ', ''ev-9999'']'
+ WHEN NOT known AND {DEFECT} = 2 THEN 'AI result contains unknown evidence refs: [''ev-0001'', ''ev-0002''' || CASE WHEN fmt <> 'kjb' THEN ', ''ev-0003''' ELSE '' END || ', ''ev-7777'']'
  WHEN NOT known THEN 'AI result contains unknown evidence refs: [''ev-0001'', ''ev-0002''' || CASE WHEN fmt <> 'kjb' OR {DEFECT} = 3 THEN ', ''ev-0003''' ELSE '' END || ']'
- WHEN {DEFECT} = 2 THEN 'AI result contains unknown evidence refs: [''ev-9999'']'
+ WHEN {DEFECT} = 2 THEN 'AI result contains unknown evidence refs: [''ev-7777'']'
  WHEN {DEFECT} = 3 THEN {_TEXT}sql_id: sql-0042'
- WHEN {DEFECT} = 4 THEN {_TEXT}source: imaginary.table'
+ WHEN {DEFECT} = 4 THEN {_TEXT}source: nowhere.parcels'
  WHEN {DEFECT} = 5 THEN {_TEXT}dependency target: Nowhere' END AS error FROM answers)"""
 
 
@@ -332,7 +332,7 @@ def fallback_description(spark, sf):
     return rows.withColumn("evidence_refs", F.array_join("evidence_refs", ","))
 
 
-REDACTED_SQL = "replace(value, '''READY''', '''[REDACTED_LITERAL]''')"
+REDACTED_SQL = "replace(value, '''RELEASED''', '''[REDACTED_LITERAL]''')"
 
 
 @query(
@@ -350,7 +350,7 @@ def export_context(spark, sf):
     sql_at = F.filter(
         F.from_json(F.get_json_object("context", "$.evidence"), "array<struct<kind: string, value: string>>"), lambda e: e["kind"] == "sql"
     )
-    leaks = F.col("context").rlike("password|2026-01-01|db.example.invalid|'READY'")
+    leaks = F.col("context").rlike("password|2026-01-01|hub.invalid|'RELEASED'")
     return contexts.select(
         "artifact_id", F.get_json_object("context", "$.sql[0].statement").alias("statement"),
         F.get(sql_at, F.lit(0))["value"].alias("sql_evidence"), size("steps"), size("hops"), size("evidence"),
@@ -366,7 +366,7 @@ def _answer(context: str):
     name = doc["pipeline"][0]["name"]
     if name.endswith("7"):
         raise RuntimeError("timeout")
-    cited = "ev-9999" if name.endswith("3") else doc["pipeline"][0]["evidence_refs"][0]
+    cited = "ev-7777" if name.endswith("3") else doc["pipeline"][0]["evidence_refs"][0]
     empty = {k: [] for k in results.REQUIRED}
     return {**empty, "pipeline_summary": {"text": name, "evidence_refs": [cited]}}
 
@@ -375,7 +375,7 @@ def _answer(context: str):
     with_sql(ITEMS_SQL)
     + """SELECT artifact_id AS case_id, CASE WHEN name LIKE '%7' OR name LIKE '%3' THEN 'fallback' ELSE 'ai' END AS analysis_mode,
  CASE WHEN name LIKE '%3' THEN 2 ELSE 1 END AS attempts, CASE WHEN name LIKE '%3' THEN 1 ELSE 0 END AS retry_count,
- CASE WHEN name LIKE '%7' THEN 'timeout' WHEN name LIKE '%3' THEN 'AI result contains unknown evidence refs: [''ev-9999'']' END AS reason
+ CASE WHEN name LIKE '%7' THEN 'timeout' WHEN name LIKE '%3' THEN 'AI result contains unknown evidence refs: [''ev-7777'']' END AS reason
  FROM items WHERE kind = 'pipeline'"""
 )
 def analyze(spark, sf):
