@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, one small table for all operators."""
 
 import collections
+import hashlib
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +73,41 @@ def test_split_cells_lose_no_link(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_oversize_fingerprint_is_split(spark, monkeypatch):
+    """A passage in every document and groups of documents alike around it: right results, and no block over the bound."""
+    search, bound = suffix_dedup.repeated_starts, 6000
+
+    def bounded(texts, *rest):
+        assert sum(map(len, texts)) <= 2 * bound
+        return search(texts, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", bound)
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", bounded)
+    rng = np.random.default_rng(5)
+
+    def noise(n):
+        return rng.integers(97, 123, n, np.uint8).tobytes().decode()
+
+    passage, spaces = noise(700), " " * 60
+    heads, tails = [noise(300) for _ in range(7)], [noise(300) for _ in range(5)]
+    texts = []
+    for i in range(60):
+        head, tail = heads[i % 7][i % 11 :] if i % 2 else "", tails[i % 5][: 300 - i % 13] if i % 3 else ""
+        texts.append(noise(250) + head + passage + tail + noise(250) + spaces + noise(350) + spaces)
+    texts += [texts[0], texts[1][100:900], noise(30) + passage[:450], passage[200:] + spaces * 8, spaces * 9]
+    raw = [t.encode() for t in texts]
+    seen = collections.Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame).collect()}
+    for d, t in enumerate(raw):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        assert (got[d].n_bytes, got[d].n_removed, got[d].kept_sha256) == (len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
 def test_repeats(spark, docs, none):
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
     # The text has a period of 977 words, so the space after its last word closes a string that occurs earlier.

@@ -13,12 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.llm import flat
+from tracewell.scale import spread_join
 from tracewell.session import work_path, written
 
 GRAM = 32
 BLOCK_BYTES = 2 << 20
 INDEX_BYTES = 1 << 20
 PLACE_BITS = 28
+STEP = 16
 
 REGION = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("rk", pa.int64())])
 RUN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
@@ -225,6 +227,85 @@ def _searched(regions: DataFrame, least: int) -> DataFrame:
     return ordered.mapInArrow(run, "fp long, rk long, runs array<struct<first long, end long>>")
 
 
+def _pieces(regions: DataFrame, least: int) -> DataFrame:
+    """Each region cut where the anchor's offset in the places' strings is a multiple of STEP: ``n`` places from
+    ``first``, a hash ``h`` of the bytes that every string with such an offset shares, and a hash ``q`` of all bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in flat.pieces(batches, "region", INDEX_BYTES):
+            data, offsets = flat.texts(part.column("region"))
+            fp, n = part.column("fp").to_numpy(), part.column("n").to_numpy()
+            prefix, raw, start = flat.prefix_hash(data), data.tobytes(), offsets[:-1]
+            at = np.arange(len(data) - GRAM + 1)
+            own = np.repeat(fp, np.diff(offsets))[: len(at)]
+            found = np.flatnonzero(flat.span_hash(prefix, at, at + GRAM).view(np.int64) == own)
+            anchor = found[np.searchsorted(found, start)]
+            most = anchor - start
+            low = (most - n + 1) // STEP
+            count = most // STEP - low + 1
+            of, a = np.repeat(np.arange(len(n)), count), flat.ranges(low, count) * STEP
+            first, end = np.maximum(most[of] - a - STEP + 1, 0), np.minimum(most[of] - a + 1, n[of])
+            h = flat.span_hash(prefix, anchor[of] - a, anchor[of] - a + least - STEP + 1).view(np.int64)
+            bounds = zip((start[of] + first).tolist(), (start[of] + end + least - 1).tolist(), strict=True)
+            q = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in bounds], np.uint64).view(np.int64)
+            rk, m = part.column("rk").to_numpy()[of], part.column("m").to_numpy()[of]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fp[of], rk, h, q, first, end - first, m)], ["fp", "rk", "h", "q", "first", "n", "m"])
+
+    return regions.mapInArrow(run, "fp long, rk long, h long, q long, first long, n long, m long")
+
+
+def _strings(regions: DataFrame, least: int) -> DataFrame:
+    """Every place of the ``parts`` of the regions with a 128-bit hash of its string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in flat.pieces([batch], "region", INDEX_BYTES):
+                out = []
+                for r in part.to_pylist():
+                    raw = r["region"]
+                    out += [(r["fp"], r["rk"], r["m"], i, xxhash.xxh3_128_digest(raw[i : i + least])) for p in r["parts"] for i in range(p["first"], p["first"] + p["n"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fp", "rk", "m", "first", "s"])
+
+    return regions.mapInArrow(run, "fp long, rk long, m long, first long, s binary")
+
+
+def _joined_runs(hits: DataFrame) -> DataFrame:
+    """One row per region with its runs; those that touch become one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = []
+            for parts in batch.column("runs").to_pylist():
+                mask = np.zeros(max(p["end"] for p in parts), bool)
+                for p in parts:
+                    mask[p["first"] : p["end"]] = True
+                runs.append([{"first": a, "end": b} for a, b in _runs(mask)])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("rk"), pa.array(runs, pa.list_(RUN))], ["fp", "rk", "runs"])
+
+    grouped = hits.groupBy("fp", "rk").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    return grouped.mapInArrow(run, "fp long, rk long, runs array<struct<first long, end long>>")
+
+
+def _counted(regions: DataFrame, least: int) -> DataFrame:
+    """The repeated places of regions whose fingerprint has too many bytes for one task, with no sorting of texts.
+
+    Equal strings have their anchor at equal offsets, so strings whose offset is in a range of STEP share the bytes
+    around the anchor that each string of the range has. Pieces of regions are grouped by these bytes: one that is
+    alone is not repeated, a group of copies is repeated as a whole, and of the others every string is counted.
+    Groups are only ever aggregated and joined, so no task holds one.
+    """
+    pieces = written(_pieces(regions, least), "pieces")
+    groups = pieces.groupBy("fp", "h").agg(F.sum("m").alias("total"), (F.min("q") == F.max("q")).alias("same")).where("total > 1")
+    judged = written(spread_join(pieces, written(groups.select("fp", "h", "same"), "groups"), ["fp", "h"], "inner"), "judged")
+    parts = judged.where("NOT same").groupBy("fp", "rk").agg(F.collect_list(F.struct("first", "n")).alias("parts"))
+    strings = written(_strings(regions.join(parts, ["fp", "rk"]).select("fp", "rk", "m", "region", "parts"), least), "strings")
+    again = written(strings.groupBy("s").agg(F.sum("m").alias("total")).where("total > 1").select("s"), "again")
+    single = spread_join(strings, again, ["s"], "left_semi").select("fp", "rk", "first", (F.col("first") + 1).alias("end"))
+    return _joined_runs(judged.where("same").select("fp", "rk", "first", (F.col("first") + F.col("n")).alias("end")).unionByName(single))
+
+
 def _removed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in flat.pieces(batches, "text"):
@@ -256,7 +337,8 @@ def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     Every place belongs to the region of its string's anchor, so equal strings start in regions of one fingerprint.
     Regions are folded to distinct ones with a count (by two 64-bit hashes) before they move. A fingerprint with one
     region in all is not repeated; one whose region has only copies is repeated as a whole; the texts of the
-    others are fetched once, and blocks of about BLOCK_BYTES of them are sorted and searched. Texts are stored in
+    others are fetched once, and blocks of about BLOCK_BYTES of them are sorted and searched; a fingerprint that has
+    more bytes by itself is split and counted instead, so a block never exceeds twice that size. Texts are stored in
     buckets of a row number, so that only places, regions and spans are shuffled, at every size alike.
     """
     if least <= GRAM:
@@ -267,10 +349,18 @@ def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     first = F.min(F.struct("at", "start", "n"))
     folded = places.groupBy("fp", "rk").agg(F.count(F.lit(1)).alias("m"), first.alias("first"))
     by_fp = Window.partitionBy("fp")
-    shared = folded.withColumns({"kinds": F.count(F.lit(1)).over(by_fp)}).where("kinds > 1 OR m > 1")
-    shared = written(shared.select("fp", "rk", "m", "kinds", "first.*"), "shared")
-    wanted = shared.where("kinds > 1").groupBy("at").agg(F.collect_list(F.struct("start", "n", "fp", "rk", "m")).alias("cuts"))
-    found = _searched(_cut_texts(index.join(wanted.hint("merge"), "at"), least), least).where(F.size("runs") > 0)
+    large = F.sum(F.col("first.n") + (least - 1)).over(by_fp) > BLOCK_BYTES
+    shared = folded.withColumns({"kinds": F.count(F.lit(1)).over(by_fp), "large": large}).where("kinds > 1 OR m > 1")
+    shared = written(shared.select("fp", "rk", "m", "kinds", "large", "first.*"), "shared")
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        cuts = wanted.groupBy("at").agg(F.collect_list(F.struct("start", "n", "fp", "rk", "m")).alias("cuts"))
+        return _cut_texts(index.join(cuts.hint("merge"), "at"), least)
+
+    found = _searched(fetched(shared.where("kinds > 1 AND NOT large")), least).where(F.size("runs") > 0)
+    oversize = shared.where("kinds > 1 AND large")
+    if not oversize.isEmpty():
+        found = found.unionByName(_counted(written(fetched(oversize), "oversize"), least))
     copied = shared.where("kinds = 1").select("fp", "rk", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n").alias("end"))).alias("runs"))
     hits = written(found.unionByName(copied), "hits")
     span = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["end"] + (least - 1)).alias("end")))
