@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, tokens, url_filters
 from tracewell.llm.components import components
 from tracewell.llm.decontamination import Automaton
 
@@ -108,6 +111,28 @@ def test_oversize_fingerprint_is_split(spark, monkeypatch):
         assert (got[d].n_bytes, got[d].n_removed, got[d].kept_sha256) == (len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize(("name", "fold"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_special_token_strings(spark, name, fold):
+    """Ids of texts with the tokenizer's own added tokens in them, against a plain tokenizer as it is loaded."""
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [
+        f"a {end} b", end, f"{end}{end}", f"x{end}y {start} z", f"A <|ENDOFTEXT|>  b {end}", f"caf\u00e9{end}! \u4e2d{start}\u6587", f" {end} \n\n {end}\n", "<|endof",
+        "text|>", f"<{end}>", f"<|endof{end}text|>", f"it's{end}'s 12{end}3", None, "", f"One, two {end}.{start}\tThree  {end} ", "no such string", f"e{end}\u0301", end[:-1], ">",
+    ]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = tokens.PieceEncoder(public_tokenizers.path(name), fold)
+    for _ in range(2):
+        ids, offsets = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    read = token_files.token_files(frame, public_tokenizers.path(name), end_id=2, fold=fold, with_ids=False)
+    crc = {i: zlib.crc32(np.array([*w, 2], "<u4").tobytes()) for i, w in enumerate(want)}
+    assert {r.doc_id: r.ids_crc32 for r in read.collect()} == crc
+    packed = packing.pack(frame, public_tokenizers.path(name), end_id=2, with_ids=False) if not fold else None
+    assert packed is None or {r.doc_id: r.ids_crc32 for r in packed.collect()} == crc
+
+
 def test_repeats(spark, docs, none):
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
     # The text has a period of 977 words, so the space after its last word closes a string that occurs earlier.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ class PieceEncoder:
     white space and case: the pieces then lose one leading space and their A-Z, so that more of them are equal.
     New pieces of ASCII letters go straight to the tokenizer's model, others through all its steps.
     Known pieces are kept by 64-bit hash, up to MOST_CACHED of them; then the memory starts anew.
+
+    Strings of the tokenizer's special tokens are found first, as the library does by default, and are pieces with
+    ids of their own; a text before or after one is encoded like a text by itself. A tokenizer with added tokens
+    that are matched in any other way (words, stripped spaces, normalized or not special) gets whole texts.
     """
 
     def __init__(self, path: str, fold: bool = False):
@@ -37,8 +42,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fold = fold
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.whole = any(t.single_word or t.lstrip or t.rstrip or t.normalized or not t.special for t in added.values())
+        self.special = {} if self.whole else {t.content.encode(): i for i, t in added.items() if t.content}
+        # The leftmost string counts, and the longest of those at one place.
+        self.pattern = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)))
+        # Special strings are taken out of the pieces, and what folding makes equal to one is ordinary text.
+        self.tokenizer.encode_special_tokens = not self.whole
+        self.fold = fold and not self.whole
         self._forget()
 
     def _forget(self) -> None:
@@ -77,7 +88,7 @@ class PieceEncoder:
         """Start of every piece, in order; each text that isn't empty starts one."""
         starts = np.zeros(len(data) + 1, bool)
         starts[offsets] = True
-        if len(data) > 1:
+        if len(data) > 1 and not self.whole:
             # A two-byte letter from À to ÿ, at its first and its second byte; × and ÷ are no letters.
             first = data[:-1] == 0xC3
             latin = first & (data[1:] != 0x97) & (data[1:] != 0xB7)
@@ -90,19 +101,38 @@ class PieceEncoder:
             starts[1:-1] |= (closes[:-1] & punctuation[1:]) | (punctuation[:-1] & opens[1:])
         return np.flatnonzero(starts[:-1])
 
+    def _specials(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of the special tokens' strings; none crosses texts."""
+        raw = data.tobytes() if self.special else b""
+        found = []
+        if any(t in raw for t in self.special):
+            bounds = offsets.tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                found += [(*m.span(), self.special[m.group()]) for m in self.pattern.finditer(raw, a, b)]
+        out = np.array(found, np.int64).reshape(-1, 3)
+        return out[:, 0], out[:, 1], out[:, 2]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and len+1 offsets of the texts in them."""
         data, offsets = flat.texts(column)
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        opens, closes, special = self._specials(data, offsets)
         if self.fold:
             data = flat.LOWER[data]
         start = self.cuts(data, offsets)
+        if len(opens):
+            inside = np.searchsorted(opens, start, "right") - 1
+            start = np.union1d(start[(inside < 0) | (start >= closes[inside])], np.concatenate([opens, closes[closes < len(data)]]))
+        given = np.full(len(start), -1)
+        given[np.searchsorted(start, opens)] = special
         end = np.append(start[1:], len(data))
         of_text = np.searchsorted(start, offsets)
         if self.fold:
             start = start + (SPACE[data[start]] & (end - start > 1))
         hashes = flat.span_hash(flat.prefix_hash(data), start, end) | np.uint64(1)
+        # A special token's piece is told from ordinary text of the same bytes.
+        hashes[given >= 0] ^= flat.MIX - np.uint64(1)
         where = self._find(hashes)
         missed = np.flatnonzero(where < 0)
         if len(missed):
@@ -110,20 +140,22 @@ class PieceEncoder:
                 self._forget()
                 missed = np.arange(len(hashes))
             own, example = np.unique(hashes[missed], return_index=True)
-            self._learn(own, data, start[missed[example]], end[missed[example]])
+            self._learn(own, data, start[missed[example]], end[missed[example]], given[missed[example]])
             where[missed] = self._find(hashes[missed])
         count = self.count[where]
         ids = self.ids[flat.ranges(self.first[where], count)]
         return ids, np.concatenate([[0], np.cumsum(count)])[of_text]
 
-    def _learn(self, own: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Encodes new pieces and remembers their ids."""
+    def _learn(self, own: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, given: np.ndarray) -> None:
+        """Encodes new pieces and remembers their ids; ``given`` has those of special tokens, else -1."""
         raw, model = data.tobytes(), self.tokenizer.model
         words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         found: list = [None] * len(words)
         rest = []
         for i, word in enumerate(words):
-            if (word[1:] if word[:1] == b" " and not self.fold else word).isalpha():  # only ASCII letters: one word for the model as it is
+            if given[i] >= 0:
+                found[i] = [int(given[i])]
+            elif not self.whole and (word[1:] if word[:1] == b" " and not self.fold else word).isalpha():  # only ASCII letters: one word for the model as it is
                 found[i] = [t.id for t in model.tokenize(word.decode().replace(" ", "Ġ"))]
             else:
                 rest.append(i)
