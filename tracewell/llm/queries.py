@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters
 
 QUERIES, ORACLES = {}, {}
 
@@ -135,3 +135,37 @@ def op3_language_model(spark, sf):
 @query()
 def op2_suffix_dedup(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text")).drop("kept")
+
+
+@query(
+    """WITH t AS (SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents d),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+ min(doc_id) OVER (PARTITION BY t) AS first_id FROM t),
+ l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 100)::INT
+ + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+ + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS mask
+ FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+ g AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x)
+ AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+ s AS (SELECT o, i AS step, 1 << (instr('ABCDE', substr(o, i, 1)) - 1) AS own,
+ coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (instr('ABCDE', substr(o, j, 1)) - 1))), 0)::INT AS earlier
+ FROM o, (SELECT unnest(range(1, 6))::INT AS i)),
+ r AS (SELECT part, o AS filter_order, step, own, sum(n * ((mask & own) = 0 AND (mask & earlier) = 0)::INT) AS kept,
+ sum(n * ((mask & own) <> 0 AND (mask & earlier) = 0)::INT) AS removed,
+ sum(n * ((mask & own) <> 0 AND (mask & earlier) <> 0)::INT) AS redundant, sum(n * (mask = own)::INT) AS unique_fails,
+ sum(n * (good AND (mask & own) <> 0 AND (mask & earlier) = 0)::INT) AS good_lost,
+ sum(n * (toxic AND (mask & own) <> 0 AND (mask & earlier) = 0)::INT) AS toxic_lost
+ FROM g, s GROUP BY part, o, step, own)
+ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+ unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r"""
+)
+def op13_filter_audit(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    failed = filter_audit.document_failures(docs, table(spark, sf, "labels"))
+    lost = {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")}
+    return filter_audit.filter_interactions(failed, "ABCDE", lost=lost).drop("filter")
