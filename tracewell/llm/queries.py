@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters
+from tracewell.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters, vector_codes
 
 QUERIES, ORACLES = {}, {}
 
@@ -169,3 +169,36 @@ def op13_filter_audit(spark, sf):
     failed = filter_audit.document_failures(docs, table(spark, sf, "labels"))
     lost = {"good_lost": F.col("good"), "toxic_lost": F.col("toxic")}
     return filter_audit.filter_interactions(failed, "ABCDE", lost=lost).drop("filter")
+
+
+def _codes_sql(rounds: int) -> str:
+    """The same codes by comparing every part with every entry; one step of SQL for each round."""
+
+    def nearest(codebook: str) -> str:
+        return f"""SELECT row, part, min({{'d': d, 'e': e}}) AS best FROM (SELECT row, v.part, e, sum((x - y) * (x - y)) AS d
+ FROM v JOIN {codebook} c ON v.part = c.part AND v.pos = c.pos GROUP BY ALL) GROUP BY row, part"""
+
+    steps = [
+        """k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, * FROM embeddings WHERE embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """v AS MATERIALIZED (SELECT row, (i // (len(embedding) // 8))::INT AS part, (i % (len(embedding) // 8))::INT AS pos,
+ floor(4096 * embedding[i + 1])::BIGINT AS x FROM (SELECT row, embedding, unnest(range(0, len(embedding))) AS i FROM k))""",
+        "c0 AS (SELECT part, (row - 1)::INT AS e, pos, x AS y FROM v WHERE row <= 16)",
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})")
+        steps.append(
+            f"""c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, c.pos, coalesce((s - ((s % n) + n) % n) // n, y)::BIGINT AS y FROM c{r} c LEFT JOIN
+ (SELECT v.part, best.e AS e, pos, sum(x)::BIGINT AS s, count(*) AS n FROM v JOIN a{r} a ON v.row = a.row AND v.part = a.part GROUP BY ALL) m
+ ON c.part = m.part AND c.e = m.e AND c.pos = m.pos)"""
+        )
+    steps.append(f"z AS MATERIALIZED ({nearest(f'c{rounds}')})")
+    return f"""WITH {", ".join(steps)}, b AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, e, pos)) AS digest FROM c{rounds}),
+ o AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM z GROUP BY row)
+ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+ FROM k JOIN o ON k.row = o.row, b"""
+
+
+@query(_codes_sql(vector_codes.ROUNDS))
+def op12_vector_codes(spark, sf):
+    return vector_codes.vector_codes(table(spark, sf, "embeddings"))
