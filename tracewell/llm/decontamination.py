@@ -112,7 +112,7 @@ class Index:
         items = [(item, words) for item, words in items if words]
         self.automaton = Automaton(items, window)
         self.shortest = min([window, *(len(words) for _, words in items)])
-        hashes = flat.span_hash(flat.prefix_hash(data), start, end)
+        hashes = flat.span_hash(data, start, end)
         self.words = np.unique(hashes)
         self.passing = np.zeros(1 << 20, bool)
         self.passing[self.words >> np.uint64(44)] = True
@@ -193,7 +193,7 @@ def contamination(
         data = flat.LOWER[data]
         raw = data.tobytes()
         start, end, first = flat.words(data, offsets, flat.ALPHANUMERIC)
-        hashes = flat.span_hash(flat.prefix_hash(data), start, end)
+        hashes = flat.span_hash(data, start, end)
         change = np.zeros(len(start) + 1, np.int64)
         found: list[set[int]] = [set() for _ in range(len(column))]
         for block in blocks:

@@ -1,4 +1,4 @@
-"""Many texts as one byte array: views over Arrow columns, word positions and polynomial hashes, without row loops."""
+"""Many texts as one byte array: views over Arrow columns, word positions and hashes, without row loops."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, types as T
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES, LONG_SPAN = 4 << 20, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 
@@ -21,6 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MIX)
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -79,7 +81,7 @@ def appended(df: DataFrame, text_col: str, fields: list[T.StructField], compute)
 
 
 def prefix_hash(flat: np.ndarray) -> np.ndarray:
-    """H with H[i] the polynomial hash of the first i bytes; span_hash turns differences into hashes of spans."""
+    """H with H[i] the polynomial hash of the first i bytes; window_hash turns differences into hashes of windows."""
     up, _ = _powers_to(len(flat) + 1)
     out = np.zeros(len(flat) + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -87,13 +89,60 @@ def prefix_hash(flat: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes from start to end; equal bytes have equal hashes wherever they stand."""
+def window_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from start to end, for windows that overlap; equal bytes have equal hashes wherever they stand.
+
+    Unlike windows of over a thousand bytes can be built that share it, so it may group bytes but never decide.
+    """
     _, down = _powers_to(len(prefix))
     with np.errstate(over="ignore"):
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * MIX)
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from start to end; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed in, a step that no multiplication alone undoes; spans of over LONG_SPAN bytes, of
+    which a text has few, get xxh3.
+    """
+    at, size = eight_bytes(data), (end - start).astype(np.int64)
+    out = mix(size.astype(np.uint64) * MIX + MIX)
+    short = size <= LONG_SPAN
+    left = np.arange(len(size)) if short.all() else np.flatnonzero(short)
+    done = 0
+    while len(left):
+        rest = size[left] - done
+        out[left] = mix(out[left] ^ (at[start[left] + done] & LOW_BYTES[np.minimum(rest, 8)])) + MIX
+        left, done = left[rest > 8], done + 8
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from ``start`` on equal those of the other array from ``other_start`` on."""
+    a, b = eight_bytes(data), eight_bytes(other)
+    out = np.ones(len(size), bool)
+    left, done = np.flatnonzero(size > 0), 0
+    while len(left):
+        if done == LONG_SPAN:
+            for i in left.tolist():
+                out[i] = np.array_equal(data[start[i] + done : start[i] + size[i]], other[other_start[i] + done : other_start[i] + size[i]])
+            break
+        rest = size[left] - done
+        gap = (a[start[left] + done] ^ b[other_start[left] + done]) & LOW_BYTES[np.minimum(rest, 8)]
+        out[left] &= gap == 0
+        left, done = left[(rest > 8) & (gap == 0)], done + 8
+    return out
+
+
 def words(flat: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the longest runs of word bytes, and each text's first word; runs never cross texts."""
     inside = np.zeros(len(flat) + 1, bool)

@@ -28,7 +28,7 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat.texts(column)
     data = flat.LOWER[data]
     start, end, first = flat.words(data, offsets, flat.NOT_SPACE)
-    word = flat.span_hash(flat.prefix_hash(data), start, end)
+    word = flat.span_hash(data, start, end)
     count = np.diff(first)
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(len(word) - WORDS + 1, 0), np.uint64)

@@ -43,7 +43,7 @@ def sliced(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> Dat
             data, offsets = flat.texts(part.column("text"))
             data = flat.LOWER[data]
             start, end, first = flat.words(data, offsets, flat.NOT_SPACE)
-            words = np.insert(flat.span_hash(flat.prefix_hash(data), start, end), first[1:], END)
+            words = np.insert(flat.span_hash(data, start, end), first[1:], END)
             vocabulary, places = np.unique(words, return_inverse=True)
             lengths = np.diff(first) + 1
             held = np.array(part.column("held").to_pylist(), bool)

@@ -46,7 +46,7 @@ def features(column: pa.Array) -> np.ndarray:
     def per_text(values: np.ndarray) -> np.ndarray:
         return np.bincount(of, values, n) / some
 
-    hashes = flat.span_hash(flat.prefix_hash(flat.LOWER[data]), start, end)
+    hashes = flat.span_hash(flat.LOWER[data], start, end)
     order = np.lexsort((hashes, of))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (np.diff(of[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])

@@ -138,7 +138,7 @@ def _regions(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tupl
         return
     prefix = flat.prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
-    grams = flat.span_hash(prefix, at, at + GRAM)
+    grams = flat.window_hash(prefix, at, at + GRAM)
     mask = np.uint64((1 << PLACE_BITS) - 1)
     smallest = (grams & ~mask) | at.astype(np.uint64)
     width = 1
@@ -238,14 +238,14 @@ def _pieces(regions: DataFrame, least: int) -> DataFrame:
             prefix, raw, start = flat.prefix_hash(data), data.tobytes(), offsets[:-1]
             at = np.arange(len(data) - GRAM + 1)
             own = np.repeat(fp, np.diff(offsets))[: len(at)]
-            found = np.flatnonzero(flat.span_hash(prefix, at, at + GRAM).view(np.int64) == own)
+            found = np.flatnonzero(flat.window_hash(prefix, at, at + GRAM).view(np.int64) == own)
             anchor = found[np.searchsorted(found, start)]
             most = anchor - start
             low = (most - n + 1) // STEP
             count = most // STEP - low + 1
             of, a = np.repeat(np.arange(len(n)), count), flat.ranges(low, count) * STEP
             first, end = np.maximum(most[of] - a - STEP + 1, 0), np.minimum(most[of] - a + 1, n[of])
-            h = flat.span_hash(prefix, anchor[of] - a, anchor[of] - a + least - STEP + 1).view(np.int64)
+            h = flat.window_hash(prefix, anchor[of] - a, anchor[of] - a + least - STEP + 1).view(np.int64)
             bounds = zip((start[of] + first).tolist(), (start[of] + end + least - 1).tolist(), strict=True)
             q = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in bounds], np.uint64).view(np.int64)
             rk, m = part.column("rk").to_numpy()[of], part.column("m").to_numpy()[of]

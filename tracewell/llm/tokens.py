@@ -30,7 +30,8 @@ class PieceEncoder:
     characters of other blocks are left out, which only makes pieces longer. ``fold`` is for tokenizers that drop
     white space and case: the pieces then lose one leading space and their A-Z, so that more of them are equal.
     New pieces of ASCII letters go straight to the tokenizer's model, others through all its steps.
-    Known pieces are kept by 64-bit hash, up to MOST_CACHED of them; then the memory starts anew.
+    Known pieces are kept with their bytes, up to MOST_CACHED of them; then the memory starts anew. They are found by
+    64-bit hash, and a piece gets the ids of a known one only if their bytes are equal.
 
     Strings of the tokenizer's special tokens are found first, as the library does by default, and are pieces with
     ids of their own; a text before or after one is encoded like a text by itself. A tokenizer with added tokens
@@ -55,8 +56,9 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.bits = 16
         self.slots, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.hashes = np.empty(0, np.uint64)
+        self.hashes, self.entries = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.first, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.place, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1: an open-addressing table, probed for all hashes at once."""
@@ -130,7 +132,7 @@ class PieceEncoder:
         of_text = np.searchsorted(start, offsets)
         if self.fold:
             start = start + (SPACE[data[start]] & (end - start > 1))
-        hashes = flat.span_hash(flat.prefix_hash(data), start, end) | np.uint64(1)
+        hashes = flat.span_hash(data, start, end) | np.uint64(1)
         # A special token's piece is told from ordinary text of the same bytes.
         hashes[given >= 0] ^= flat.MIX - np.uint64(1)
         where = self._find(hashes)
@@ -140,14 +142,23 @@ class PieceEncoder:
                 self._forget()
                 missed = np.arange(len(hashes))
             own, example = np.unique(hashes[missed], return_index=True)
-            self._learn(own, data, start[missed[example]], end[missed[example]], given[missed[example]])
+            example = missed[example]
+            new = self._learn(data, start[example], end[example], given[example])
+            self._remember(own, new)
             where[missed] = self._find(hashes[missed])
+        size = end - start
+        equal = self.size[where] == size
+        equal[equal] = flat.same_spans(data, start[equal], self.bytes, self.place[where[equal]], size[equal])
+        other = np.flatnonzero(~equal)
+        if len(other):
+            # Another piece has the hash: these get ids of their own, which no hash leads to.
+            where[other] = self._learn(data, start[other], end[other], given[other])
         count = self.count[where]
         ids = self.ids[flat.ranges(self.first[where], count)]
         return ids, np.concatenate([[0], np.cumsum(count)])[of_text]
 
-    def _learn(self, own: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, given: np.ndarray) -> None:
-        """Encodes new pieces and remembers their ids; ``given`` has those of special tokens, else -1."""
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Encodes pieces and returns the entries that have their ids; ``given`` has those of special tokens, else -1."""
         raw, model = data.tobytes(), self.tokenizer.model
         words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         found: list = [None] * len(words)
@@ -163,15 +174,21 @@ class PieceEncoder:
             found[i] = e.ids
         count = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for one in found for i in one), np.uint32, int(count.sum()))
+        size, known = end - start, len(self.count)
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.place = np.concatenate([self.place, len(self.bytes) + np.cumsum(size) - size])
         self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
-        self.hashes = np.concatenate([self.hashes, own])
-        new = np.arange(len(self.hashes) - len(own), len(self.hashes), dtype=np.int32)
+        self.size, self.bytes = np.concatenate([self.size, size]), np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
+        return np.arange(known, known + len(words), dtype=np.int32)
+
+    def _remember(self, own: np.ndarray, entries: np.ndarray) -> None:
+        """Lets distinct hashes lead to their entries."""
+        self.hashes, self.entries = np.concatenate([self.hashes, own]), np.concatenate([self.entries, entries])
         if 2 * len(self.hashes) > len(self.slots):
             self.bits = (4 * len(self.hashes)).bit_length()
             self.slots, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            own, new = self.hashes, np.arange(len(self.hashes), dtype=np.int32)
-        self._insert(own, new)
+            own, entries = self.hashes, self.entries
+        self._insert(own, entries)
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
