@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, url_filters, vector_codes
+from tracewell.llm import decontamination, exact_dedup, filter_audit, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, toxicity, url_filters, vector_codes
 
 QUERIES, ORACLES = {}, {}
 
@@ -202,3 +202,10 @@ def _codes_sql(rounds: int) -> str:
 @query(_codes_sql(vector_codes.ROUNDS))
 def op12_vector_codes(spark, sf):
     return vector_codes.vector_codes(table(spark, sf, "embeddings"))
+
+
+@query()
+def op11_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity_scores(docs, table(spark, sf, "labels"), ~held_out(3, 1))
+    return scored.select("doc_id", F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"), "score", "predicted")
