@@ -8,6 +8,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewell.llm import flat
@@ -20,6 +21,7 @@ HOT_LIST, HOT_DOCS, HOT_LOCAL = 65_536, 64, 4
 CELL_ROWS, LEAF, FANOUT = 4096, 16, 8
 SEEDS = flat.mix(np.arange(1, 4, dtype=np.uint64) * flat.MIX)
 BROADCAST_IDS = 500_000
+MANY_ROOTS, WIDE_BITS, SPANNING_ROUNDS = 8, 8, 3
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -69,9 +71,9 @@ def hot_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.sort(np.array(rows.column("h"), np.int64).view(np.uint64))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Bitmap of a set as 64-bit words, of at least one bit a member; halves fold onto each other by OR."""
-    width = max(64, 1 << (len(hashes) - 1).bit_length())
+def signature(hashes: np.ndarray, bits_each: int = 1) -> np.ndarray:
+    """Bitmap of a set as 64-bit words, of at least ``bits_each`` bits a member; halves fold onto each other by OR."""
+    width = max(64, bits_each << (len(hashes) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[hashes & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -173,9 +175,9 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _cell_pairs(rows: list[dict], first_round: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of sets in one cell to be checked. The first round gives probable pairs only, and each joins its two
-    sides for the rest of the cell, so that no cell gives more pairs than members; the second gives every pair left."""
+def _cell_pairs(rows: list[dict], spanning: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of sets in one cell to be checked. A spanning round gives probable pairs only, and each joins its two
+    sides for the rest of the cell, so that no cell gives more pairs than members; the last gives every pair left."""
     unique = {r["k"]: r for r in rows}
     members = sorted(unique.values(), key=lambda r: (r["n"], r["k"]))
     sizes = np.array([r["n"] for r in members], np.int64)
@@ -194,13 +196,13 @@ def _cell_pairs(rows: list[dict], first_round: bool) -> Iterator[tuple[int, int]
         if x["parts"] is not None and (max(x["band"], y["band"]) != x["cell"] or sorted((x["salt"], y["salt"])) != [x["low"], x["high"]]):
             continue
         a, b = _find(parent, i), _find(parent, j)
-        if a != b and (likely or not first_round):
+        if a != b and (likely or not spanning):
             yield min(x["k"], y["k"]), max(x["k"], y["k"])
-            if first_round:
+            if spanning:
                 parent[max(a, b)] = min(a, b)
 
 
-def _candidates(live: DataFrame, first_round: bool) -> DataFrame:
+def _candidates(live: DataFrame, spanning: bool) -> DataFrame:
     """Distinct pairs to check from rows of shingle cells; a cell's rows stay below a few thousand."""
     parts = F.when(F.col("c") > CELL_ROWS, F.ceil(F.col("c") / CELL_ROWS).cast("int"))
     band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
@@ -218,7 +220,7 @@ def _candidates(live: DataFrame, first_round: bool) -> DataFrame:
         for _, group in groupby(rows, key=lambda r: tuple(r[c] for c in key)):
             members = list(group)
             if len(members) > 1:
-                found.update(_cell_pairs(members, first_round))
+                found.update(_cell_pairs(members, spanning))
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
                 found = set()
@@ -269,20 +271,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``doc, mark, k, n, prefix, sig, mins`` per document: its id, hash of its text, key and size of its set, its smallest
+    """``doc, mark, k, n, prefix, sig, wide, mins, at`` per document: its id, hash of its text, key and size of its set, its smallest
     shingles by three other orders, the first shingles in the common order
     (those not in ``hot`` ascending, then the others), of which similar sets share one, and the bitmap.
 
-    ``k`` is null for documents without words; prefix and bitmap stand at the first document of a key in each slice.
+    ``k`` is null for documents without words; prefix and bitmaps (``wide`` has WIDE_BITS times the bits) stand at the first
+    document of a key in each slice. ``at`` numbers the rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, at = shared.value, TaskContext.get().partitionId() << 40
         for part in flat.pieces(batches, "text"):
             values, bounds = shingle_sets(part.column("text"))
             late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(len(values), bool)
-            keys, prefixes, bitmaps, mins, seen = [], [], [], [], set()
+            keys, prefixes, bitmaps, wides, mins, seen = [], [], [], [], [], set()
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own, size = values[a:b], b - a
                 key = _key(own.tobytes()) if size else None
@@ -290,45 +293,56 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
                 if not size or key in seen:
                     prefixes.append(None)
                     bitmaps.append(None)
+                    wides.append(None)
                     mins.append(None)
                     continue
                 seen.add(key)
                 order = np.concatenate([own[~late[a:b]], own[late[a:b]]])
                 prefixes.append(order[: size - (4 * size + 4) // 5 + 1].view(np.int64))
-                bitmaps.append(signature(own).tobytes())
+                wide = signature(own, WIDE_BITS)
+                bitmaps.append(fold(wide, max(len(wide) // WIDE_BITS, 1)).tobytes())
+                wides.append(wide.tobytes())
                 mins.append([int(flat.mix(own ^ seed).min().view(np.int64)) for seed in SEEDS])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(mins, pa.list_(pa.int64()))],
-                ["doc", "mark", "k", "n", "prefix", "sig", "mins"],
+                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(wides, pa.binary()),
+                 pa.array(mins, pa.list_(pa.int64())), pa.array(np.arange(at, at + part.num_rows))],
+                ["doc", "mark", "k", "n", "prefix", "sig", "wide", "mins", "at"],
             )
+            at += part.num_rows
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary, mins array<long>")
+    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary, wide binary, mins array<long>, at long")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, mark, k, n, root``: every document with its key and the smallest key that its key reaches by links."""
     spark = docs.sparkSession
     index = written(shingle_index(docs, hot_shingles(docs, text_col), id_col, text_col), "shingle_index")
-    stored = index.where("prefix is not null")
-    bitmaps = stored.select("k", "sig")
-
-    def pairs_of(cells: DataFrame, first_round: bool) -> DataFrame:
-        wanted = bitmaps.join(cells.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
-        return _candidates(cells.join(wanted, "k"), first_round)
+    stored = _first_of_keys(index.where("prefix is not null"))
+
+    def pairs_of(cells: DataFrame, spanning: bool) -> DataFrame:
+        """Candidate pairs of cells; those of many roots get the wide bitmaps, which leave few unlike pairs."""
+        many = cells.select("h", "root").distinct().groupBy("h").agg((F.count(F.lit(1)) > MANY_ROOTS).alias("many"))
+        marked = written(cells.join(many, "h"), "cells")
+        out = []
+        for flag, sig in (("NOT many", "sig"), ("many", "wide")):
+            own = marked.where(flag).drop("many")
+            wanted = stored.select("k", F.col(sig).alias("sig")).join(own.select("k").distinct(), "k", "left_semi")
+            out.append(_candidates(own.join(wanted, "k"), spanning))
+        return out[0].unionByName(out[1]).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         return written(_verified(pairs, _sets(docs, index, pairs, id_col, text_col)), "links")
 
     def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.join(roots, rows["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k")).drop("node")
+        return rows.drop("root").join(roots, rows["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k")).drop("node")
 
     cell = Window.partitionBy("h")
     size = F.count(F.lit(1)).over(cell)
     mins = stored.select("k", "n", F.explode("mins").alias("h")).withColumns({"c": size, "_k0": F.min("k").over(cell), "_k1": F.max("k").over(cell)})
     starts = mins.where("_k0 <> _k1").select("h", "k", "n", F.lit(None).cast("long").alias("prev"), F.lit(0).alias("rank"), "c", F.col("k").alias("root"))
-    first = written(pairs_of(written(starts, "first_cells"), True), "pairs")
-    links = linked(first)
+    checked = written(pairs_of(starts, True), "pairs")
+    links = linked(checked)
     roots = written(components(links), "roots")
 
     before = lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(F.col("prefix"), i - 1).bitwiseAND(0x7FFFFFFF)).alias("prev"), i.alias("rank"))
@@ -336,15 +350,45 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     measured = tokens.withColumns({"c": size, "_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell), "_p": F.count("prev").over(cell), "_p0": F.min("prev").over(cell), "_p1": F.max("prev").over(cell), "_n0": F.min("n").over(cell)})
     some_room = "9 * (n - rank) >= 4 * (n + greatest(_n0, 0.8D * n))"
     live = measured.where(f"_r0 <> _r1 AND (_p < c OR _p0 <> _p1) AND {some_room}").select("h", "k", "n", "prev", "rank", "c", "root")
-    second = written(pairs_of(written(live, "cells"), False).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = linked(second)
+    live = written(live, "live")
+
+    # Cells of many roots first give the few pairs that would join them, until these give no more links.
+    for _ in range(SPANNING_ROUNDS):
+        many = live.select("h", "root").distinct().groupBy("h").count().where(F.col("count") > MANY_ROOTS).select("h")
+        crowded = live.join(many, "h", "left_semi")
+        if crowded.isEmpty():
+            break
+        tried = written(pairs_of(crowded, True).join(checked, ["a", "b"], "left_anti"), "pairs")
+        more = linked(tried) if not tried.isEmpty() else tried
+        if more.isEmpty():
+            break
+        checked, links = checked.unionByName(tried), links.unionByName(more)
+        roots = written(components(links), "roots")
+        live = written(_mixed(labelled(live, roots)), "live")
+
+    last = written(pairs_of(live, False).join(checked, ["a", "b"], "left_anti"), "pairs")
+    if not last.isEmpty():
+        more = linked(last)
         roots = roots if more.isEmpty() else written(components(links.unionByName(more)), "roots")
     named = index.select("doc", "mark", "k", "n")
     named = named.join(roots, named["k"] == roots["node"], "left").withColumn("root", F.coalesce("root", "k"))
     return named
 
 
+def _first_of_keys(rows: DataFrame) -> DataFrame:
+    """One row of each key: what more slices have of a set that is in many documents goes before cells are formed."""
+    first = written(rows.groupBy("k").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("k", "first"), "first")
+    again = written(rows.select("k", "at").join(first, "k").where("at <> first").select("at"), "again")
+    few = again.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(again) if few else again.hint("merge"), "at", "left_anti")
+
+
+def _mixed(cells: DataFrame) -> DataFrame:
+    """The rows of cells that still have several roots."""
+    several = cells.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
+    return cells.join(several, "h", "left_semi")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row: the smallest id reachable by links of Jaccard 0.8 or more.
 
@@ -356,8 +400,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Sets that share a shingle form a cell. In a cell a signature tree is traversed against itself, and the pairs that
     it leaves are checked with the whole sets. Cells too large for a task are split by size bands and salts without
     losing a pair. The first round takes the sets' smallest shingles by three orders and links clusters by few pairs.
-    The second is complete: similar sets share one of their first shingles in a common order, rare before frequent,
-    and it checks every pair in those cells between different components that the bitmaps leave.
+    Then come cells in which similar sets meet for sure: they share one of their first shingles in a common order, rare
+    before frequent. Cells of more than MANY_ROOTS components first give spanning pairs only, at most one a member, by
+    wider bitmaps; the last round is complete and checks every pair between different components that the bitmaps leave.
     """
     named = _labelled(docs, id_col, text_col)
     smallest = written(named.where("root is not null").groupBy("root").agg(F.min("doc").alias("least")), "names")
