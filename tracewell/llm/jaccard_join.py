@@ -21,7 +21,7 @@ HOT_LIST, HOT_DOCS, HOT_LOCAL = 65_536, 64, 4
 CELL_ROWS, LEAF, FANOUT = 4096, 16, 8
 SEEDS = flat.mix(np.arange(1, 4, dtype=np.uint64) * flat.MIX)
 BROADCAST_IDS = 500_000
-MANY_ROOTS, WIDE_BITS, SPANNING_ROUNDS = 8, 8, 3
+MANY_ROOTS, WIDE_BITS, MOST_WIDE, SPANNING_ROUNDS = 32, 8, 4096, 2
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -275,7 +275,8 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
     shingles by three other orders, the first shingles in the common order
     (those not in ``hot`` ascending, then the others), of which similar sets share one, and the bitmap.
 
-    ``k`` is null for documents without words; prefix and bitmaps (``wide`` has WIDE_BITS times the bits) stand at the first
+    ``k`` is null for documents without words; prefix and bitmaps (``wide`` has up to WIDE_BITS times the bits, MOST_WIDE
+    at most unless the other has more) stand at the first
     document of a key in each slice. ``at`` numbers the rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -300,8 +301,9 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
                 order = np.concatenate([own[~late[a:b]], own[late[a:b]]])
                 prefixes.append(order[: size - (4 * size + 4) // 5 + 1].view(np.int64))
                 wide = signature(own, WIDE_BITS)
-                bitmaps.append(fold(wide, max(len(wide) // WIDE_BITS, 1)).tobytes())
-                wides.append(wide.tobytes())
+                narrow = max(len(wide) // WIDE_BITS, 1)
+                bitmaps.append(fold(wide, narrow).tobytes())
+                wides.append(fold(wide, max(narrow, MOST_WIDE // 64)).tobytes())
                 mins.append([int(flat.mix(own ^ seed).min().view(np.int64)) for seed in SEEDS])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(wides, pa.binary()),
