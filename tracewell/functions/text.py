@@ -82,9 +82,26 @@ def byte_size(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
-def record_digest(cols: Sequence[str]) -> Column:
-    """SHA-256 of the row as JSON with columns in name order and nulls kept."""
-    ordered = F.struct(*[F.col(c) for c in sorted(cols)])
+def canonical(value: Column, dtype: T.DataType) -> Column:
+    """The same value in one form, whatever order its parts were written in: struct fields in name order, maps as arrays
+    of entries in key order, at any depth. The parts of VARIANT objects are in name order by themselves."""
+    if isinstance(dtype, T.StructType):
+        fields = sorted(dtype.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[canonical(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        keys = F.array_sort(F.map_keys(value))
+        return F.transform(keys, lambda k: F.struct(k.alias("key"), canonical(F.element_at(value, k), dtype.valueType).alias("value")))
+    return value
+
+
+def record_digest(cols: Sequence[str], schema: T.StructType | None = None) -> Column:
+    """SHA-256 of the row as JSON with columns in name order and nulls kept.
+
+    With the table's ``schema``, nested values count in canonical form, so that equal maps have equal digests.
+    """
+    ordered = F.struct(*[(canonical(F.col(f"`{c}`"), schema[c].dataType) if schema else F.col(c)).alias(c) for c in sorted(cols)])
     return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
 
 

@@ -121,35 +121,32 @@ def column_declarations(fields: DataFrame) -> DataFrame:
 def reachable_pairs(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Pairs (start, node) per artifact; a start reaches itself, and cycles end by themselves.
 
-    ``edges`` has artifact_id, from_id, to_id; ``starts`` has artifact_id, step_id. Each round extends only the
-    pairs found in the round before and drops those already known. Rounds are written to the shared folder, so the
-    plan does not grow with the path length and a lost executor costs at most one round.
+    ``edges`` has artifact_id, from_id, to_id; ``starts`` has artifact_id, step_id. Null steps reach nothing. Paths are
+    doubled: round n knows all nodes within 2 ** n - 1 steps and the pairs of nodes exactly 2 ** n steps apart, and joins
+    the one to the other, so the rounds grow with the logarithm of the longest path. A round that finds nothing new is
+    the last, as it looked at least one step further. Rounds are written to the shared folder, so the plan stays small
+    and a lost executor costs at most one round.
     """
     spark = starts.sparkSession
     folder = work_path(spark, "reachable")
-    links = f"{folder}/links"
-    edges.select("artifact_id", F.col("from_id").alias("node"), F.col("to_id").alias("_next")).distinct().write.parquet(links)
-    by_node = spark.read.parquet(links)
-    first = starts.select("artifact_id", F.col("step_id").alias("start"), F.col("step_id").alias("node"))
     pair = ["artifact_id", "start", "node"]
-    found: list[str] = []
-    new = first.where(F.col("node").isNotNull()).distinct()
-    schema = new.schema
-    for n in count():
-        path = f"{folder}/round={n}"
-        new.write.parquet(path)
-        latest = spark.read.schema(schema).parquet(path)
-        if latest.isEmpty():
-            break
-        found.append(path)
-        known = spark.read.schema(schema).parquet(*found)
-        new = (
-            latest.join(by_node, ["artifact_id", "node"])
-            .select("artifact_id", "start", F.col("_next").alias("node"))
-            .distinct()
-            .join(known, pair, "left_anti")
-        )
-    return spark.read.schema(schema).parquet(*found) if found else first.limit(0)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    links = edges.select("artifact_id", F.col("from_id").alias("node"), F.col("to_id").alias("next"))
+    leap = stored(links.where("node IS NOT NULL AND next IS NOT NULL AND node <> next").distinct(), "leap=0")
+    first = starts.select("artifact_id", F.col("step_id").alias("start"), F.col("step_id").alias("node"))
+    found = stored(first.where(F.col("node").isNotNull()).distinct(), "found=0")
+    for n in count(1):
+        ahead = found.join(leap, ["artifact_id", "node"]).select("artifact_id", "start", F.col("next").alias("node"))
+        new = stored(ahead.distinct().join(found, pair, "left_anti"), f"found={n}")
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+        onward = leap.select("artifact_id", F.col("node").alias("next"), F.col("next").alias("far"))
+        leap = stored(leap.join(onward, ["artifact_id", "next"]).select("artifact_id", "node", F.col("far").alias("next")).distinct(), f"leap={n}")
 
 
 def table_flow(attached: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -102,35 +102,74 @@ def vulnerability_gate(findings: DataFrame) -> DataFrame:
     )
 
 
+#: Names of JSON types and the beginnings of the VARIANT types that they are.
+JSON_TYPES = {
+    "boolean": ["BOOLEAN"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "integer": ["BIGINT"], "string": ["STRING"],
+    "array": ["ARRAY"], "object": ["OBJECT"], "null": ["VOID"],
+}
+
+
+def _json_type(value) -> str:
+    kinds = {bool: "boolean", int: "number", float: "number", str: "string", type(None): "null"}
+    if type(value) not in kinds:
+        raise TypeError(f"not a JSON scalar: {value!r}")
+    return kinds[type(value)]
+
+
 def check_contract(df: DataFrame, json_col: str, contract: Mapping) -> DataFrame:
     """Contract errors of a JSON text column, as an array column ``contract_errors``.
 
-    ``contract`` may hold required (names), constants (name -> value), enums (name -> values), closed (all allowed
-    names) and lengths (name -> characters). Names may be dotted paths, except in ``closed``.
+    ``contract`` may hold required (names), types (name -> JSON type), constants (name -> value), enums (name -> values),
+    closed (all allowed names) and lengths (name -> characters of a string). Names may be dotted paths, except in
+    ``closed``. Values are compared with their type: ``true``, 1 and "1" are three values, 1 and 1.0 are one.
     """
     text = F.col(json_col)
     doc = F.try_parse_json(text)
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
 
-    def got(name: str) -> Column:
-        return F.try_variant_get(doc, f"$.{name}", "string")
+    def at(name: str) -> Column:
+        return F.try_variant_get(doc, f"$.{name}", "variant")
 
     def has(name: str) -> Column:
-        return F.try_variant_get(doc, f"$.{name}", "variant").isNotNull()
-
-    tests = [F.when(~has(n), F.lit(f"missing {n}")) for n in contract.get("required", [])]
-    tests += [F.when(has(n) & ~got(n).eqNullSafe(F.lit(str(v))), F.lit(f"wrong {n}")) for n, v in contract.get("constants", {}).items()]
-    tests += [F.when(has(n) & ~F.coalesce(got(n).isin(list(v)), F.lit(False)), F.lit(f"unknown {n}")) for n, v in contract.get("enums", {}).items()]
-    tests += [
-        F.when(has(n) & ~F.coalesce(F.char_length(got(n)) == v, F.lit(False)), F.lit(f"length of {n}"))
-        for n, v in contract.get("lengths", {}).items()
+        return at(name).isNotNull()
+
+    def is_type(value: Column, kind: str) -> Column:
+        found = F.schema_of_variant(value)
+        return F.coalesce(F.array_contains(F.array(*[F.lit(k) for k in JSON_TYPES[kind]]), F.regexp_extract(found, "^[A-Z]+", 0)), F.lit(False))
+
+    def equals(name: str, value) -> Column:
+        kind = _json_type(value)
+        if kind == "null":
+            return is_type(at(name), kind)
+        as_type = {"boolean": "boolean", "number": "double", "string": "string"}[kind]
+        same = F.try_variant_get(doc, f"$.{name}", as_type) == F.lit(value).cast(as_type)
+        return is_type(at(name), kind) & F.coalesce(same, F.lit(False))
+
+    def among(name: str, values) -> Column:
+        return reduce(Column.__or__, [equals(name, v) for v in values], F.lit(False))
+
+    def wrong_length(name: str, length: int) -> Column:
+        size = F.char_length(F.try_variant_get(doc, f"$.{name}", "string"))
+        return ~(is_type(at(name), "string") & F.coalesce(size == length, F.lit(False)))
+
+    rules = [
+        ("required", None, lambda n, _: ~has(n), "missing"),
+        ("types", has, lambda n, kind: ~is_type(at(n), kind), "type of"),
+        ("constants", has, lambda n, v: ~equals(n, v), "wrong"),
+        ("enums", has, lambda n, values: ~among(n, values), "unknown"),
+        ("lengths", has, wrong_length, "length of"),
     ]
+    tests = []
+    for rule, where, broken, says in rules:
+        named = contract.get(rule, {})
+        for n, v in named.items() if isinstance(named, Mapping) else ((n, None) for n in named):
+            test = broken(n, v)
+            tests.append(F.when(where(n) & test if where else test, F.lit(f"{says} {n}")))
     found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
     if "closed" in contract:
         extra = F.array_except(keys, F.array(*[F.lit(k) for k in contract["closed"]]))
         found = F.concat(found, F.transform(F.sort_array(extra), lambda k: F.concat(F.lit("extra "), k)))
-    errors = F.when(doc.isNull(), F.array(F.lit("not JSON"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(found)
+    errors = F.when(doc.isNull(), F.array(F.lit("not JSON"))).when(~is_type(doc, "object"), F.array(F.lit("not an object"))).otherwise(found)
     return df.withColumn("contract_errors", errors)
 
 

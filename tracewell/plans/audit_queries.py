@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tracewell.operators import audit
 from tracewell.plans.views import (
@@ -242,14 +242,15 @@ def stale_running(spark, sf):
 @query(
     with_sql(LOG_SQL, CHANGES_SQL)
     + """SELECT pipeline_name, environment_name, run_id, attempt_number, CAST(epoch(min(changed_at)) AS DOUBLE) AS started_at,
- arg_max(status, (changed_at, status <> 'RUNNING', execution_id)) AS status FROM
- (SELECT *, min(execution_id) OVER (PARTITION BY pipeline_name, environment_name, run_id, attempt_number) AS first_id FROM exec_changes)
- WHERE execution_id = first_id GROUP BY 1, 2, 3, 4"""
+ arg_max(status, (changed_at, status <> 'RUNNING')) AS status FROM (SELECT * EXCLUDE (attempt_number),
+ dense_rank() OVER (PARTITION BY pipeline_name, environment_name, run_id ORDER BY attempt_number, execution_id) AS attempt_number
+ FROM exec_changes) GROUP BY 1, 2, 3, 4"""
 )
 def current_log(spark, sf):
-    changes = exec_changes(spark, sf)
-    first = changes.groupBy(*audit.ATTEMPT_KEY).agg(F.min("execution_id").alias("execution_id"))
-    log = audit.current_log(changes.join(first, [*audit.ATTEMPT_KEY, "execution_id"]))
+    """All changes; executions that share an attempt number get numbers of their own, in order, within the run."""
+    run = Window.partitionBy("pipeline_name", "environment_name", "run_id").orderBy("attempt_number", "execution_id")
+    changes = exec_changes(spark, sf).withColumn("attempt_number", F.dense_rank().over(run))
+    log = audit.current_log(changes)
     return log.select(*audit.ATTEMPT_KEY, seconds("started_at").alias("started_at"), "status")
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from tracewell.operators import evaluation, results
-from tracewell.operators.keyed import dedupe_first
 from tracewell.plans.corpus import ERROR, FMT, ITEMS_SQL, PATH, artifact_src, stored_tables
 from tracewell.plans.lineage_queries import DEPENDENCIES_SQL, RESOLVED_SQL
 from tracewell.plans.views import load, with_sql
@@ -240,13 +239,11 @@ BODY = f"""concat(CASE WHEN s % 3 = 0 THEN '```json\\n' ELSE '' END, CASE WHEN {
 
 
 def _responses(spark, sf):
-    one = dedupe_first(
-        load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-        ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"],
-    )
+    tries = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    one = load(spark, sf, "lineitem").select("l_orderkey", F.row_number().over(tries).alias("attempt"), "l_partkey", "l_suppkey")
     cases = load(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c").selectExpr("k", "c", f"{FMT} AS fmt", f"{PATH} AS case_id")
     answers = one.join(cases, F.col("l_orderkey") == F.col("k")).selectExpr(
-        "case_id", "l_linenumber AS attempt", "k", "c", "fmt", "l_partkey AS p", "l_suppkey AS s"
+        "case_id", "attempt", "k", "c", "fmt", "l_partkey AS p", "l_suppkey AS s"
     )
     return answers.selectExpr(
         "case_id", "attempt", f"CASE WHEN {DEFECT} <> 7 THEN {BODY} END AS body", f"CASE WHEN {DEFECT} = 7 THEN 'timeout' END AS transport_error"
@@ -256,8 +253,9 @@ def _responses(spark, sf):
 _TEXT = "'AI result references unknown "
 ERRORS_SQL = f"""keyed AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
 cases AS (SELECT k, c, {FMT} AS fmt, {PATH} AS case_id, {ERROR} IS NULL AS known FROM keyed),
-one AS (SELECT l_orderkey, l_linenumber AS attempt, min((l_partkey, l_suppkey)) AS m FROM lineitem GROUP BY 1, 2),
-answers AS (SELECT case_id, attempt, fmt, known, m[1] AS p, m[2] AS s FROM one JOIN cases ON k = l_orderkey),
+one AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
+ AS attempt FROM lineitem),
+answers AS (SELECT case_id, attempt, fmt, known, l_partkey AS p, l_suppkey AS s FROM one JOIN cases ON k = l_orderkey),
 judged AS (SELECT case_id, attempt, fmt, CASE WHEN {DEFECT} = 7 THEN 'timeout' END AS transport_error, CASE
  WHEN {DEFECT} IN (6, 7) THEN 'result is not a JSON object'
  WHEN {DEFECT} = 1 THEN 'AI result missing keys: migration_assistance, warnings'

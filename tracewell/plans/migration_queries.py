@@ -282,20 +282,28 @@ def vulnerability_gate(spark, sf):
 @query(
     """SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderkey % 23 = 0 THEN 'not JSON' WHEN o_orderkey % 29 = 0 THEN 'not an object' END,
  CASE WHEN o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0 THEN concat_ws('|', CASE WHEN o_custkey % 5 = 0 THEN 'missing warnings' END,
- CASE WHEN o_custkey % 3 = 0 THEN 'wrong schema_version' END, CASE WHEN o_orderstatus = 'P' THEN 'unknown analysis_mode' END,
+ CASE WHEN o_custkey % 10 = 1 THEN 'type of warnings' END, CASE WHEN o_custkey % 3 = 0 THEN 'wrong schema_version' END,
+ CASE WHEN o_custkey % 6 IN (1, 3) THEN 'wrong complete' END, CASE WHEN o_custkey % 8 IN (2, 5) THEN 'wrong revision' END,
+ CASE WHEN o_orderstatus = 'P' THEN 'unknown analysis_mode' END, CASE WHEN o_custkey % 9 IN (4, 5) THEN 'unknown level' END,
  CASE WHEN o_custkey % 4 = 0 THEN 'length of parser_truth_digest' END, CASE WHEN o_custkey % 7 = 0 THEN 'extra zz' END) END) AS contract_errors FROM orders"""
 )
 def check_contract(spark, sf):
-    doc = """CASE WHEN o_orderkey % 23 = 0 THEN '{"schema' WHEN o_orderkey % 29 = 0 THEN '[1]' ELSE concat('{"schema_version": "',
-      CASE WHEN o_custkey % 3 = 0 THEN '1.1' ELSE '1.0' END, '", "analysis_mode": "', CASE o_orderstatus WHEN 'P' THEN 'x' WHEN 'F' THEN 'ai'
-      ELSE 'fallback' END, '", "parser_truth_digest": "', CASE WHEN o_custkey % 4 = 0 THEN 'ab' ELSE sha2(o_orderpriority, 256) END, '"',
-      CASE WHEN o_custkey % 5 = 0 THEN '' ELSE ', "warnings": []' END, CASE WHEN o_custkey % 7 = 0 THEN ', "zz": 1' ELSE '' END, '}') END AS doc"""
+    doc = """CASE WHEN o_orderkey % 23 = 0 THEN '{"schema' WHEN o_orderkey % 29 = 0 THEN '[1]' ELSE concat('{"schema_version": ',
+      CASE WHEN o_custkey % 6 = 3 THEN '1.0' WHEN o_custkey % 3 = 0 THEN '"1.1"' ELSE '"1.0"' END, ', "complete": ', CASE o_custkey % 6 WHEN 1 THEN '"true"'
+      WHEN 3 THEN '1' ELSE 'true' END, ', "revision": ', CASE o_custkey % 8 WHEN 2 THEN '"1"' WHEN 5 THEN 'true' WHEN 7 THEN '1.0' ELSE '1' END,
+      ', "level": ', CASE o_custkey % 9 WHEN 4 THEN '"2"' WHEN 5 THEN '3' WHEN 6 THEN 'null' WHEN 7 THEN '"high"' ELSE '2' END,
+      ', "analysis_mode": "', CASE o_orderstatus WHEN 'P' THEN 'x' WHEN 'F' THEN 'ai' ELSE 'fallback' END,
+      '", "parser_truth_digest": ', CASE WHEN o_custkey % 8 = 0 THEN '1234' WHEN o_custkey % 4 = 0 THEN '"ab"' ELSE concat('"', sha2(o_orderpriority, 256), '"') END,
+      CASE WHEN o_custkey % 5 = 0 THEN '' WHEN o_custkey % 10 = 1 THEN ', "warnings": {}' ELSE ', "warnings": []' END,
+      CASE WHEN o_custkey % 7 = 0 THEN ', "zz": 1' ELSE '' END, '}') END AS doc"""
+    names = ["schema_version", "complete", "revision", "level", "analysis_mode", "parser_truth_digest", "warnings"]
     contract = {
-        "required": ["schema_version", "analysis_mode", "parser_truth_digest", "warnings"],
-        "constants": {"schema_version": "1.0"},
-        "enums": {"analysis_mode": ["ai", "fallback"]},
+        "required": names,
+        "types": {"warnings": "array"},
+        "constants": {"schema_version": "1.0", "complete": True, "revision": 1},
+        "enums": {"analysis_mode": ["ai", "fallback"], "level": [1, 2, None, "high"]},
         "lengths": {"parser_truth_digest": 64},
-        "closed": ["schema_version", "analysis_mode", "parser_truth_digest", "warnings"],
+        "closed": names,
     }
     checked = quality.check_contract(load(spark, sf, "orders").selectExpr("o_orderkey", doc), "doc", contract)
     return checked.select("o_orderkey", F.array_join("contract_errors", "|").alias("contract_errors"))

@@ -464,10 +464,19 @@ def safe_ratio(spark, sf):
 PART_JSON = """'{"p_name":"' || p_name || '","p_partkey":' || p_partkey || ',"p_size":' || p_size || '}'"""
 
 
-@query(f"SELECT p_partkey, sha256({PART_JSON}) AS digest FROM part")
+NESTED_JSON = """'{"p_name":"' || p_name || '","p_partkey":' || p_partkey || ',"p_size":' || p_size || ',"traits":[{"key":"brand","value":{"code":"' || p_brand
+ || '","size":' || p_size || '}},{"key":"kind","value":{"code":"' || p_type || '","size":null}}]}'"""
+
+
+@query(f"SELECT p_partkey, sha256({NESTED_JSON}) AS digest FROM part")
 def record_digest(spark, sf):
-    digest = text.record_digest(["p_partkey", "p_name", "p_size"])
-    return load(spark, sf, "part").select("p_partkey", digest.alias("digest"))
+    """Digests of nested rows; the map is filled in another order on every second row."""
+    entries = ["'brand', named_struct('size', p_size, 'code', p_brand)", "'kind', named_struct('size', CAST(NULL AS INT), 'code', p_type)"]
+    maps = [f"map({', '.join(e)})" for e in (entries, entries[::-1])]
+    parts = load(spark, sf, "part").withColumn("p_size", F.col("p_size").cast("int"))
+    parts = parts.selectExpr("p_partkey", "p_name", "p_size", f"CASE WHEN p_partkey % 2 = 0 THEN {maps[0]} ELSE {maps[1]} END AS traits")
+    digest = text.record_digest(["p_partkey", "p_name", "p_size", "traits"], parts.schema)
+    return parts.select("p_partkey", digest.alias("digest"))
 
 
 @query(f"SELECT {PART_JSON} AS value FROM part")
