@@ -28,8 +28,8 @@ ERROR = (
 )
 ROOT = "CASE WHEN k % 101 = 0 THEN 'project' WHEN c % 7 = 0 THEN 'workflow' ELSE 'pipeline' END"
 SQL_TEXT = (
-    "SELECT id, amount FROM inbox.parcels_@(c % 7)@ o JOIN master.depots_@(c % 3)@ m ON o.cid = m.id "
-    "WHERE o.status = 'RELEASED' AND amount {lt} 10"
+    "SELECT r.meter, r.kwh FROM grid.readings_@(c % 7)@ r JOIN assets.meters_@(c % 3)@ m ON r.meter = m.id "
+    "WHERE m.state = 'BILLABLE' AND r.kwh {lt} 900"
 )
 
 
@@ -57,114 +57,140 @@ def _document(*parts: str | tuple[str, str]) -> str:
 
 
 NAMED = "k % 13 <> 0"
-HOPS = (
-    "<hop><from>Scan Parcels</from><to>Keep Released</to><enabled>Y</enabled></hop>"
-    "<hop><from>Keep Released</from><to>Match Depot</to></hop>"
-    "<hop><from>Match Depot</from><to>Price Freight</to><enabled> y </enabled></hop>"
-    "<hop><from>Price Freight</from><to>Store Parcels</to><enabled>@(CASE WHEN c % 8 = 0 THEN 'n' ELSE 'Y' END)@</enabled></hop>"
-    "<hop><from>Read Extra</from><to>Store Parcels</to></hop>"
-)
-MORE_HOPS = [
-    ("c % 10 = 0", "<hop><from>Scan Parcels</from><to>Keep Released</to></hop>"),
-    ("c % 9 = 0", "<hop><from>Store Parcels</from><to>Scan Parcels</to></hop>"),
-    ("c % 14 = 0", "<hop><from>Ghost</from><to>Store Parcels</to></hop>"),
+FILTERED, JOINED, REJECTS, PLUGIN, AGAIN = "c % 3 <> 1", "c % 4 = 2", "c % 5 = 3", "c % 6 = 0", "c % 10 = 1"
+
+# Steps of an XML flow in file order: the condition under which a step is there, and its name. How many there are, and
+# how they branch, follows from the order's customer.
+FLOW = [
+    ("true", "Pull Readings"), ("true", "Sort By Meter"), (PLUGIN, ""), (FILTERED, "Keep Billable"), ("true", "Usage Per Meter"),
+    ("true", "Late Readings"), (JOINED, "Join Late"), ("true", "Find Tariff"), (REJECTS, "Write Rejects"), ("true", "Write Bills"),
+    (AGAIN, "Late Readings"),
+]
+# Hops in file order: condition, from, to, how the switch is written (None: not at all), and whether it is on.
+OFF = "c % 8 = 0"
+HOPS = [
+    ("true", "Pull Readings", "Sort By Meter", "Y", "true"),
+    (FILTERED, "Sort By Meter", "Keep Billable", None, "true"),
+    (FILTERED, "Keep Billable", "Usage Per Meter", " y ", "true"),
+    ("c % 3 = 1", "Sort By Meter", "Usage Per Meter", "yes", "true"),
+    (JOINED, "Late Readings", "Join Late", None, "true"),
+    (JOINED, "Join Late", "Find Tariff", "Y", "true"),
+    ("c % 4 <> 2", "Late Readings", "Find Tariff", None, "true"),
+    ("true", "Usage Per Meter", "Find Tariff", "", "true"),
+    (REJECTS, "Find Tariff", "Write Rejects", "N", "false"),
+    ("true", "Find Tariff", "Write Bills", f"@(CASE WHEN {OFF} THEN 'n' ELSE 'Y' END)@", f"NOT ({OFF})"),
+    ("c % 10 = 0", "Pull Readings", "Sort By Meter", None, "true"),
+    ("c % 9 = 0", "Write Bills", "Late Readings", None, "true"),
+    ("c % 14 = 0", "Nowhere", "Write Bills", None, "true"),
 ]
 
 
+def _hop_text(cond: str, source: str, target: str, switch: str | None, _on: str) -> tuple[str, str]:
+    enabled = "" if switch is None else f"<enabled>{switch}</enabled>"
+    return cond, f"<hop><from>{source}</from><to>{target}</to>{enabled}</hop>"
+
+
+ORDER = [_hop_text(*h) for h in HOPS]
+
+
 def _xml_steps(tag: str) -> list:
     hop = tag == "transform"
-    tax = (
-        "<field><stream_name>tax</stream_name><column_name>tax_col</column_name></field>"
+    peak = (
+        "<stream_name>peak</stream_name><column_name>peak_kw</column_name>"
         if hop
-        else "<field><field_name>tax</field_name><rename>tax_out</rename><formula>amount*0.1</formula></field>"
-    )
-    calc = "" if hop else "<calculation>amount</calculation>"
-    extra = (
-        f"<{tag}><name>Read Extra</name><type>TableInput</type><connection>conn_@(c % 2)@</connection>"
-        f"<schema>inbox</schema><table>extra_@(c % 4)@</table></{tag}>"
+        else "<field_name>peak</field_name><rename>peak_kw</rename><formula>greatest(kw)</formula>"
     )
-    looked = "<schema>places</schema>" + (
-        "<table>depots</table>"
-        if hop
-        else "@(CASE WHEN k % 8 = 1 THEN '<lookup><table>depots</table></lookup>' ELSE '<table>depots</table>' END)@"
-    )
-    return [
-        f"<{tag}><name> Scan Parcels\n</name><type>TableInput</type><connection>conn_@(c % 5)@</connection>"
-        f"<sql>{SQL_TEXT.format(lt='&lt;')}</sql></{tag}><{tag}><name>Keep Released</name><type>FilterRows</type></{tag}>"
-        f"<{tag}><name>Match Depot</name><type>DatabaseLookup</type><connection>conn_@(c % 5)@</connection>{looked}</{tag}>"
-        f"<{tag}><name>Price Freight</name><type>Calculator</type><fields>",
-        f"<field><name>freight_due</name><type>Number</type>{calc}</field>",
-        ("c % 4 = 1", "<field><name></name></field>"),
-        ("c % 2 = 0", tax),
-        f"</fields></{tag}>",
-        extra,
-        f"<{tag}><name>Store Parcels</name><type>TableOutput</type><connection>dw</connection><schema>freight</schema>"
-        f"<table>out_@(k % 11)@</table></{tag}>",
-        ("c % 6 = 0", f"<{tag}><type>HouseMadePlugin</type><description>odd</description></{tag}>"),
-        ("c % 10 = 1", extra),
-    ]
+    tariffs = "<table>tariffs</table>"
+    if not hop:
+        tariffs = f"@(CASE WHEN k % 8 = 1 THEN '<lookup>{tariffs}</lookup>' ELSE '{tariffs}' END)@"
+    late = "<type>TableInput</type><connection>side_@(c % 2)@</connection><schema>grid</schema><table>late_@(c % 4)@</table>"
+    written = "<connection>books</connection><schema>billing</schema>"
+    inner = [
+        [f"<type>TableInput</type><connection>grid_@(c % 5)@</connection><sql>{SQL_TEXT.format(lt='&lt;')}</sql>"],
+        ["<type>SortRows</type>"],
+        ["<type>PhaseSplitter</type><description>built on site</description>"],
+        ["<type>FilterRows</type>"],
+        ["<type>GroupBy</type><fields><field><name>usage</name><type>Number</type>" + ("" if hop else "<calculation>kwh</calculation>") + "</field>",
+         ("c % 4 = 1", "<field><name></name></field>"), ("c % 2 = 0", f"<field>{peak}</field>"), "</fields>"],
+        [late],
+        ["<type>MergeJoin</type>"],
+        ["<type>DimensionLookup</type><connection>grid_@(c % 5)@</connection><schema>rates</schema>" + tariffs],
+        [f"<type>TextFileOutput</type>{written}<table>rejects</table>"],
+        [f"<type>TableOutput</type>{written}<table>due_@(k % 11)@</table>"],
+        [late],
+    ]
+    out: list = []
+    for (cond, name), parts in zip(FLOW, inner, strict=True):
+        title = f"<name> {name}\n</name>" if name == "Pull Readings" else f"<name>{name}</name>" if name else ""
+        whole = [f"<{tag}>{title}", *parts, f"</{tag}>"]
+        for part in whole:
+            both, text = part if isinstance(part, tuple) else ("true", part)
+            out.append(text if cond == both == "true" else (" AND ".join(f"({x})" for x in (cond, both)), text))
+    return out
 
 
-_VARIABLES = "<variables><variable><name>ZONE_NAME</name><value>freight</value></variable></variables>"
-_BATCH = "<parameter><name> RUN_DAY </name><default_value>2026-01-01</default_value><description>day</description></parameter>"
+_ROOM = "<variables><variable><name>METER_ROOM</name><value>room_@(c % 5)@</value></variable></variables>"
+_PERIOD = "<parameter><name> PERIOD </name><default_value>quarter @(k % 4)@</default_value><description>billed span</description></parameter>"
+_UNIT = "<parameter><name>UNIT</name><default>kilo</default></parameter>"
 
 HOP_TEXT = _document(
-    '<?xml version="1.0" encoding="UTF-8"?>\n<!-- <transform><name>old</name></transform> -->\n' + f"<@({ROOT})@><info>",
-    (NAMED, "<name>flow_@(k)@</name>"),
-    f"<parameters>{_BATCH}",
-    ("c % 3 = 0", "<parameter><name/></parameter><parameter><name>REGION</name><default>eu</default></parameter>"),
+    '<?xml version="1.0" encoding="UTF-8"?>\n<!-- <transform><name>retired</name></transform> -->\n' + f"<@({ROOT})@><info>",
+    (NAMED, "<name>bill_@(k)@</name>"),
+    f"<parameters>{_PERIOD}",
+    ("c % 3 = 0", f"<parameter><name/></parameter>{_UNIT}"),
     "</parameters>",
-    ("k % 3 = 0", f"<nested>{_VARIABLES}</nested>"),
-    f"</info><order>{HOPS}",
-    *MORE_HOPS,
-    "</order>",
+    ("k % 3 = 0", f"<site>{_ROOM}</site>"),
+    "</info>",
     *_xml_steps("transform"),
-    f"</@({ROOT})@>",
+    "<order>",
+    *ORDER,
+    f"</order></@({ROOT})@>",
 )
 KTR_TEXT = _document(
-    "<transformation><info>",
-    (NAMED, "<name>flow_@(k)@</name>"),
-    f"<parameters>{_BATCH}</parameters></info>",
-    ("c % 3 = 0", "<parameters><parameter><name>REGION</name><default>eu</default></parameter></parameters>"),
-    ("k % 3 = 0", _VARIABLES),
-    "<connection><name>parcel_hub</name><type>POSTGRESQL</type><server>hub.invalid</server><database>parcels</database>"
-    "<port>5432</port></connection>",
+    "<transformation>",
+    ("k % 3 = 0", _ROOM),
+    "<order>",
+    *ORDER,
+    "</order><info>",
+    (NAMED, "<name>bill_@(k)@</name>"),
+    f"<parameters>{_PERIOD}</parameters></info>",
+    ("c % 3 = 0", f"<parameters>{_UNIT}</parameters>"),
     ("c % 4 = 0", "<connection><name/></connection>"),
-    "<connection><name>dw</name></connection>",
+    "<connection><name>books</name></connection>",
+    "<connection><name>grid_main</name><type>ORACLE</type><server>meters-@(c % 4)@</server><database>grid</database>"
+    "<port>1521</port></connection>",
     *_xml_steps("step"),
-    f"<order>{HOPS}",
-    *MORE_HOPS,
-    "</order></transformation>",
+    "</transformation>",
 )
 KJB_TEXT = _document(
     "<job>",
-    (NAMED, "<name>flow_@(k)@</name>"),
-    "<parameters><parameter><name>RUN_DATE</name><default_value>2026-01-01</default_value></parameter></parameters><entries>"
+    (NAMED, "<name>bill_@(k)@</name>"),
+    "<parameters><parameter><name>CYCLE</name><default_value>monthly</default_value></parameter></parameters><entries>"
     "<entry><name>START</name><type>SPECIAL</type></entry>",
-    ("c % 2 = 0", "<entry><name>Run Flow</name><type>TRANS</type><filename>a@(k + 1)@.ktr</filename></entry>"),
-    ("c % 2 = 1", "<entry><name>Run Flow</name><type>Job</type><filename/><jobname>flow_@(k + 1)@</jobname></entry>"),
-    "<entry><name>Notify</name><type>MAIL</type><filename>note.txt</filename></entry>"
-    "<entry><name>SUCCESS</name><type>SUCCESS</type></entry></entries>"
-    "<hops><hop><from>START</from><to>Run Flow</to></hop><hop><from>Run Flow</from><to>Notify</to>"
-    "<enabled>@(CASE WHEN c % 8 = 0 THEN 'N' ELSE 'Y' END)@</enabled></hop></hops>"
-    "<order><hop><from>Notify</from><to>SUCCESS</to></hop></order></job>",
+    ("c % 3 = 0", "<entry><name>Wait For Grid</name><type>DELAY</type><filename>none.txt</filename></entry>"),
+    ("c % 2 = 0", "<entry><name>Run Billing</name><type>TRANS</type><filename>a@(k + 1)@.ktr</filename></entry>"),
+    ("c % 2 = 1", "<entry><name>Run Billing</name><type>Job</type><filename/><jobname>bill_@(k + 1)@</jobname></entry>"),
+    "</entries><hops><hop><from>START</from><to>Run Billing</to><enabled>@(CASE WHEN c % 8 = 0 THEN 'N' ELSE 'Y' END)@</enabled></hop></hops>"
+    "<order>",
+    ("c % 3 = 0", "<hop><from>START</from><to>Wait For Grid</to></hop>"),
+    "</order></job>",
 )
 JSON_TEXT = _document(
-    '{"pipeline": {"description": "nightly"',
-    (NAMED, ', "name": "flow_@(k)@"'),
-    '}, "connections": [{"name": "db", "type": "pg", "host": "h@(c % 3)@", "password": "p@(k)@"}, {"host": "x"}], "steps": ['
-    '{"id": "s1", "name": "Scan Parcels", "type": "TableInput", "connection": "db", "table": "inbox.parcels_@(c % 7)@", '
-    f'"sql": "{SQL_TEXT.format(lt="<")}", "fields": ["order_id", '
-    '{"name": "amount", "type": "Number", "target_name": "amt"}]}, '
-    '{"name": "Keep Released", "type": "FilterRows"}, {"id": "s3", "type": "CustomReader", "table": "ref.codes_@(c % 3)@"}, '
-    '{"id": "s4", "name": "Mark", "type": "TableOutput", "role": "Referenced", "table": "ref.marks"}, '
-    '{"id": "s5", "name": "Store Parcels", "type": "TableOutput", "table": "freight.out_@(k % 11)@", '
-    '"fields": [{"name": ""}, {"name": "net", "expression": "amount*2"}]}], "hops": ['
-    '{"from": "Scan Parcels", "to": "Keep Released", "enabled": true}, {"from": "Keep Released", "to": "Store Parcels", '
-    """"enabled": @(CASE WHEN c % 8 = 0 THEN 'false' ELSE '"false"' END)@}, """
-    '{"from": "s3", "to": "Store Parcels"}',
-    ("c % 10 = 0", ', {"from": "Scan Parcels", "to": "Keep Released"}'),
-    ("c % 9 = 0", ', {"from": "Store Parcels", "to": "Scan Parcels"}'),
+    '{"pipeline": {"description": "billing run"',
+    (NAMED, ', "name": "bill_@(k)@"'),
+    '}, "connections": [{"host": "x"}, {"name": "grid", "type": "oracle", "host": "h@(c % 3)@", "password": "p@(k)@"}], "steps": ['
+    '{"id": "codes", "type": "CustomReader", "table": "rates.codes_@(c % 3)@"}, '
+    '{"id": "pull", "name": "Pull Readings", "type": "TableInput", "connection": "grid", "table": "grid.readings_@(c % 7)@", '
+    f'"sql": "{SQL_TEXT.format(lt="<")}", "fields": [{{"name": "kwh", "type": "Number", "target_name": "used"}}, "meter"]}}, '
+    '{"name": "Sort By Meter", "type": "SortRows"}, ',
+    (FILTERED, '{"id": "keep", "name": "Keep Billable", "type": "FilterRows"}, '),
+    '{"id": "bills", "name": "Write Bills", "type": "TableOutput", "table": "billing.due_@(k % 11)@", '
+    '"fields": [{"name": "due", "expression": "used*rate"}, {"name": ""}]}, '
+    '{"id": "stamp", "name": "Stamp", "type": "TableOutput", "role": "Referenced", "table": "ref.stamps"}], "hops": ['
+    '{"from": "codes", "to": "Write Bills"}, {"from": "Pull Readings", "to": "Sort By Meter", "enabled": true}',
+    (FILTERED, ', {"from": "Sort By Meter", "to": "Keep Billable"}, {"from": "Keep Billable", "to": "Write Bills", "enabled": "no"}'),
+    ("c % 3 = 1", """, {"from": "Sort By Meter", "to": "Write Bills", "enabled": @(CASE WHEN c % 8 = 0 THEN 'false' ELSE '"false"' END)@}"""),
+    ("c % 9 = 0", ', {"from": "Write Bills", "to": "codes"}'),
     "]}",
 )
 
@@ -225,70 +251,71 @@ def _expect_hops(prefix: str, start: int, rows: list[tuple[str, str, str, str]])
     return out
 
 
-_ON = "c % 8 <> 0"
-_XML_HOPS = [
-    ("true", "Scan Parcels", "Keep Released", "true"), ("true", "Keep Released", "Match Depot", "true"),
-    ("true", "Match Depot", "Price Freight", "true"), ("true", "Price Freight", "Store Parcels", _ON),
-    ("true", "Read Extra", "Store Parcels", "true"), ("c % 10 = 0", "Scan Parcels", "Keep Released", "true"),
-    ("c % 9 = 0", "Store Parcels", "Scan Parcels", "true"), ("c % 14 = 0", "Ghost", "Store Parcels", "true"),
-]
-_LAST = "7 + (CASE WHEN c % 6 = 0 THEN 1 ELSE 0 END)"
-_TAX_AT = "2 + (CASE WHEN c % 4 = 1 THEN 1 ELSE 0 END)"
+def _place(flow: list[tuple[str, str]], n: int) -> str:
+    """Number of the n-th possible step among those that are there."""
+    before = [cond for cond, _ in flow[:n] if cond != "true"]
+    return " + ".join([str(1 + n - len(before)), *[f"(CASE WHEN {cond} THEN 1 ELSE 0 END)" for cond in before]])
+
+
+def _step_id(place: str) -> str:
+    return f"step-@(lpad(CAST({place} AS VARCHAR), 4, '0'))@"
 
 
 def _expect_xml(tag: str, hop: bool):
-    def at(n):
-        return f"./{tag}[{n}]"
+    names = [name for _, name in FLOW]
+    rows: list = []
 
-    last = f"@({_LAST})@"
-    first_sql = [
-        ("true", "sql", at(1) + "/sql", STATEMENT, {"step_id": "step-0001"}),
-    ]
-    refs = [] if hop else [
-        _expect_table("true", at(1) + "/sql:FROM_OR_JOIN", n, "source", step_id="step-0001", connection="conn_@(c % 5)@",
-                      classification="inferred-deterministic-sql-reference")
-        for n in ("inbox.parcels_@(c % 7)@", "master.depots_@(c % 3)@")
-    ]
+    def step(n, stype, name=None, **attrs):
+        place = _place(FLOW, n)
+        at, sid, cond = f"./{tag}[@({place})@]", _step_id(place), FLOW[n][0]
+        rows.append(_expect_step(at, sid, name or names[n], stype, cond, **attrs))
+        return at, sid, cond
+
+    def connection(at, cond, name, first="true"):
+        if hop:
+            rows.append((f"({cond}) AND ({first})", "connection", at + "/connection", name, {"name": name, "type": "reference"}))
 
-    def table(n, sid, name, role, conn, cond="true", keep="true"):
+    def table(at, sid, cond, name, role, conn, keep="true"):
         more = {} if hop else {"step_id": sid, "classification": "structural"}
-        row = _expect_table(cond, at(n) + "/table", name, role, keep, connection=conn, **more)
+        row = _expect_table(cond, at + "/table", name, role, keep, connection=conn, **more)
         if hop and role != "referenced":
             row[4]["=is_endpoint"] = "true"
-        return [row]
-
-    def conn(n, name, cond="true"):
-        return [(cond, "connection", at(n) + "/connection", name, {"name": name, "type": "reference"})] if hop else []
-
-    def field(n, pos, name, cond="true", **attrs):
-        return (cond, "field", f"{at(n)}/fields/field[{pos}]", name, {"step_id": f"step-000{n}", "name": name, **attrs})
-
-    calc = {} if hop else {"expression": "amount"}
-    tax = {"target_name": "tax_col"} if hop else {"target_name": "tax_out", "expression": "amount*0.1"}
-    extra = {"connection": "conn_@(c % 2)@", "schema_name": "inbox", "table_name": "extra_@(c % 4)@"}
-    return [
-        _expect_step(at(1), "step-0001", "Scan Parcels", "TableInput", connection="conn_@(c % 5)@"),
-        *conn(1, "conn_@(c % 5)@"), *first_sql, *refs,
-        _expect_step(at(2), "step-0002", "Keep Released", "FilterRows"),
-        _expect_step(at(3), "step-0003", "Match Depot", "DatabaseLookup", connection="conn_@(c % 5)@",
-                     schema_name="places", table_name="depots"),
-        *table(3, "step-0003", "places.depots", "referenced", "conn_@(c % 5)@"),
-        _expect_step(at(4), "step-0004", "Price Freight", "Calculator"),
-        field(4, 1, "freight_due", data_type="Number", **calc),
-        field(4, f"@({_TAX_AT})@", "tax", "c % 2 = 0", **tax),
-        _expect_step(at(5), "step-0005", "Read Extra", "TableInput", **extra),
-        *conn(5, "conn_@(c % 2)@", "c % 2 <> c % 5"),
-        *table(5, "step-0005", "inbox.extra_@(c % 4)@", "source", "conn_@(c % 2)@"),
-        _expect_step(at(6), "step-0006", "Store Parcels", "TableOutput", connection="dw", schema_name="freight",
-                     table_name="out_@(k % 11)@"),
-        *conn(6, "dw"),
-        *table(6, "step-0006", "freight.out_@(k % 11)@", "target", "dw"),
-        _expect_step(at(7), "step-0007", "step-7" if hop else "step-0007", "HouseMadePlugin", "c % 6 = 0", description="odd"),
-        _expect_step(at(last), f"step-000{last}", "Read Extra", "TableInput", "c % 10 = 1", **extra),
-        *table(last, f"step-000{last}", "inbox.extra_@(c % 4)@", "source", "conn_@(c % 2)@", "c % 10 = 1",
-               "false" if hop else "true"),
-        *_expect_hops("./order/hop[", 1, _XML_HOPS),
-    ]
+        rows.append(row)
+
+    def field(at, sid, cond, pos, name, **attrs):
+        rows.append((cond, "field", f"{at}/fields/field[{pos}]", name, {"step_id": sid, "name": name, **attrs}))
+
+    def late(n, keep):
+        attrs = {"connection": "side_@(c % 2)@", "schema_name": "grid", "table_name": "late_@(c % 4)@"}
+        at, sid, cond = step(n, "TableInput", **attrs)
+        connection(at, cond, "side_@(c % 2)@", keep)
+        table(at, sid, cond, "grid.late_@(c % 4)@", "source", "side_@(c % 2)@", keep if hop else "true")
+
+    at, sid, _ = step(0, "TableInput", connection="grid_@(c % 5)@")
+    connection(at, "true", "grid_@(c % 5)@")
+    rows.append(("true", "sql", at + "/sql", STATEMENT, {"step_id": sid}))
+    for name in () if hop else ("grid.readings_@(c % 7)@", "assets.meters_@(c % 3)@"):
+        found = {"step_id": sid, "connection": "grid_@(c % 5)@", "classification": "inferred-deterministic-sql-reference"}
+        rows.append(_expect_table("true", at + "/sql:FROM_OR_JOIN", name, "source", **found))
+    step(1, "SortRows")
+    place = _place(FLOW, 2)
+    step(2, "PhaseSplitter", f"step-@({place})@" if hop else _step_id(place), description="built on site")
+    step(3, "FilterRows")
+    at, sid, _ = step(4, "GroupBy")
+    field(at, sid, "true", "1", "usage", data_type="Number", **({} if hop else {"expression": "kwh"}))
+    peak = {"target_name": "peak_kw"} | ({} if hop else {"expression": "greatest(kw)"})
+    field(at, sid, "c % 2 = 0", "@(2 + (CASE WHEN c % 4 = 1 THEN 1 ELSE 0 END))@", "peak", **peak)
+    late(5, "true")
+    step(6, "MergeJoin")
+    tariffs = {"connection": "grid_@(c % 5)@", "schema_name": "rates", "table_name": "tariffs"}
+    at, sid, cond = step(7, "DimensionLookup", **tariffs)
+    table(at, sid, cond, "rates.tariffs", "referenced", "grid_@(c % 5)@")
+    for n, stype, name in ((8, "TextFileOutput", "rejects"), (9, "TableOutput", "due_@(k % 11)@")):
+        at, sid, cond = step(n, stype, connection="books", schema_name="billing", table_name=name)
+        connection(at, cond, "books", "true" if n == 8 else f"NOT ({REJECTS})")
+        table(at, sid, cond, f"billing.{name}", "target", "books")
+    late(10, "false")
+    return [*rows, *_expect_hops("./order/hop[", 1, [(cond, a, b, on) for cond, a, b, _, on in HOPS])]
 
 
 def _parameter(cond: str, locator: str, name: str, default: str, description: str):
@@ -296,15 +323,15 @@ def _parameter(cond: str, locator: str, name: str, default: str, description: st
 
 
 def _variable(locator: str):
-    attrs = {"name": "ZONE_NAME", "default_value": "freight", "scope": "artifact"}
-    return ("k % 3 = 0", "variable", locator, "ZONE_NAME", attrs)
+    attrs = {"name": "METER_ROOM", "default_value": "room_@(c % 5)@", "scope": "artifact"}
+    return ("k % 3 = 0", "variable", locator, "METER_ROOM", attrs)
 
 
 def _conn(cond: str, locator: str, name: str, ctype: str):
     return (cond, "connection", locator, name, {"name": name, "type": ctype})
 
 
-_NAME = "@(CASE WHEN k % 13 = 0 THEN concat('a', k) ELSE concat('flow_', k) END)@"
+_NAME = "@(CASE WHEN k % 13 = 0 THEN concat('a', k) ELSE concat('bill_', k) END)@"
 
 
 def _pipe(locator: str, kind: str, **attrs):
@@ -315,59 +342,66 @@ def _json_field(step: int, sid: str, pos: int, name: str, **attrs):
     return ("true", "field", f"$.steps[{step}].fields[{pos}]", name, {"step_id": sid, "name": name, **attrs})
 
 
+_PERIOD_ROW = ("PERIOD", "quarter @(k % 4)@", "billed span")
+_CALLED = "@(CASE WHEN c % 2 = 0 THEN concat('a', k + 1, '.ktr') ELSE concat('bill_', k + 1) END)@"
+_JOB = [("true", "START"), ("c % 3 = 0", "Wait For Grid"), ("true", "Run Billing")]
+_RUN_AT, _RUN_ID = f"./entries/entry[@({_place(_JOB, 2)})@]", _step_id(_place(_JOB, 2))
+_JSON_LAST = "3 + (CASE WHEN c % 3 <> 1 THEN 1 ELSE 0 END)"
+
+
+def _json_at(more: int, rest: str) -> str:
+    return f"$.steps[@({_JSON_LAST} + {more})@]{rest}"
+
+
 EXPECTED = {
     "hop": [
         _pipe("./info/name", f"apache-hop-@({ROOT})@"),
-        _parameter("true", "./info/parameters/parameter[1]", "RUN_DAY", "2026-01-01", "day"),
-        _parameter("c % 3 = 0", "./info/parameters/parameter[3]", "REGION", "eu", ""),
+        _parameter("true", "./info/parameters/parameter[1]", *_PERIOD_ROW),
+        _parameter("c % 3 = 0", "./info/parameters/parameter[3]", "UNIT", "kilo", ""),
         _variable(".//variables/variable[1]"),
         *_expect_xml("transform", True),
     ],
     "ktr": [
         _pipe("./info/name", "pentaho-transformation"),
-        _conn("true", "./connection[1]", "parcel_hub", "POSTGRESQL"),
-        _conn("true", "./connection[@(CASE WHEN c % 4 = 0 THEN 3 ELSE 2 END)@]", "dw", "database"),
-        _parameter("true", "parameter[1]", "RUN_DAY", "2026-01-01", "day"),
-        _parameter("c % 3 = 0", "parameter[2]", "REGION", "eu", ""),
+        _conn("true", "./connection[@(CASE WHEN c % 4 = 0 THEN 2 ELSE 1 END)@]", "books", "database"),
+        _conn("true", "./connection[@(CASE WHEN c % 4 = 0 THEN 3 ELSE 2 END)@]", "grid_main", "ORACLE"),
+        _parameter("true", "parameter[1]", *_PERIOD_ROW),
+        _parameter("c % 3 = 0", "parameter[2]", "UNIT", "kilo", ""),
         _variable("variable[1]"),
         *_expect_xml("step", False),
     ],
     "kjb": [
         _pipe("./name", "pentaho-job"),
-        _parameter("true", "parameter[1]", "RUN_DATE", "2026-01-01", ""),
+        _parameter("true", "parameter[1]", "CYCLE", "monthly", ""),
         _expect_step("./entries/entry[1]", "step-0001", "START", "SPECIAL"),
-        _expect_step("./entries/entry[2]", "step-0002", "Run Flow", "@(CASE WHEN c % 2 = 0 THEN 'TRANS' ELSE 'Job' END)@"),
-        ("true", "pipeline_dependency", "./entries/entry[2]/filename",
-         "@(CASE WHEN c % 2 = 0 THEN concat('a', k + 1, '.ktr') ELSE concat('flow_', k + 1) END)@",
-         {"step_id": "step-0002", "from_name": _NAME, "classification": "structural",
-          "to_name": "@(CASE WHEN c % 2 = 0 THEN concat('a', k + 1, '.ktr') ELSE concat('flow_', k + 1) END)@"}),
-        _expect_step("./entries/entry[3]", "step-0003", "Notify", "MAIL"),
-        _expect_step("./entries/entry[4]", "step-0004", "SUCCESS", "SUCCESS"),
-        *_expect_hops("job-hop[", 1, [
-            ("true", "START", "Run Flow", "true"), ("true", "Run Flow", "Notify", _ON), ("true", "Notify", "SUCCESS", "true"),
-        ]),
+        _expect_step("./entries/entry[2]", "step-0002", "Wait For Grid", "DELAY", "c % 3 = 0"),
+        _expect_step(_RUN_AT, _RUN_ID, "Run Billing", "@(CASE WHEN c % 2 = 0 THEN 'TRANS' ELSE 'Job' END)@"),
+        ("true", "pipeline_dependency", f"{_RUN_AT}/filename", _CALLED,
+         {"step_id": _RUN_ID, "from_name": _NAME, "classification": "structural", "to_name": _CALLED}),
+        *_expect_hops("job-hop[", 1, [("true", "START", "Run Billing", f"NOT ({OFF})"), ("c % 3 = 0", "START", "Wait For Grid", "true")]),
     ],
     "json": [
-        _pipe("$.pipeline.name", "legacy-etl", description="nightly"),
-        _conn("true", "$.connections[0]", "db", "pg"),
-        _conn("true", "$.connections[1]", "connection-2", "unknown"),
-        _expect_step("$.steps[0]", "s1", "Scan Parcels", "TableInput", connection="db", table_name="inbox.parcels_@(c % 7)@"),
-        ("true", "sql", "$.steps[0].sql", STATEMENT, {"step_id": "s1"}),
-        _json_field(0, "s1", 0, "order_id"),
-        _json_field(0, "s1", 1, "amount", target_name="amt", data_type="Number"),
-        _expect_table("true", "$.steps[0].table", "inbox.parcels_@(c % 7)@", "source", connection="db"),
-        _expect_step("$.steps[1]", "step-0002", "Keep Released", "FilterRows"),
-        _expect_step("$.steps[2]", "s3", "s3", "CustomReader", table_name="ref.codes_@(c % 3)@"),
-        _expect_table("true", "$.steps[2].table", "ref.codes_@(c % 3)@", "source"),
-        _expect_step("$.steps[3]", "s4", "Mark", "TableOutput", table_name="ref.marks"),
-        _expect_table("true", "$.steps[3].table", "ref.marks", "referenced"),
-        _expect_step("$.steps[4]", "s5", "Store Parcels", "TableOutput", table_name="freight.out_@(k % 11)@"),
-        _json_field(4, "s5", 1, "net", expression="amount*2"),
-        _expect_table("true", "$.steps[4].table", "freight.out_@(k % 11)@", "target"),
+        _pipe("$.pipeline.name", "legacy-etl", description="billing run"),
+        _conn("true", "$.connections[0]", "connection-1", "unknown"),
+        _conn("true", "$.connections[1]", "grid", "oracle"),
+        _expect_step("$.steps[0]", "codes", "codes", "CustomReader", table_name="rates.codes_@(c % 3)@"),
+        _expect_table("true", "$.steps[0].table", "rates.codes_@(c % 3)@", "source"),
+        _expect_step("$.steps[1]", "pull", "Pull Readings", "TableInput", connection="grid", table_name="grid.readings_@(c % 7)@"),
+        ("true", "sql", "$.steps[1].sql", STATEMENT, {"step_id": "pull"}),
+        _json_field(1, "pull", 0, "kwh", target_name="used", data_type="Number"),
+        _json_field(1, "pull", 1, "meter"),
+        _expect_table("true", "$.steps[1].table", "grid.readings_@(c % 7)@", "source", connection="grid"),
+        _expect_step("$.steps[2]", "step-0003", "Sort By Meter", "SortRows"),
+        _expect_step("$.steps[3]", "keep", "Keep Billable", "FilterRows", FILTERED),
+        _expect_step(_json_at(0, ""), "bills", "Write Bills", "TableOutput", table_name="billing.due_@(k % 11)@"),
+        ("true", "field", _json_at(0, ".fields[0]"), "due", {"step_id": "bills", "name": "due", "expression": "used*rate"}),
+        _expect_table("true", _json_at(0, ".table"), "billing.due_@(k % 11)@", "target"),
+        _expect_step(_json_at(1, ""), "stamp", "Stamp", "TableOutput", table_name="ref.stamps"),
+        _expect_table("true", _json_at(1, ".table"), "ref.stamps", "referenced"),
         *_expect_hops("$.hops[", 0, [
-            ("true", "Scan Parcels", "Keep Released", "true"), ("true", "Keep Released", "Store Parcels", _ON),
-            ("true", "s3", "Store Parcels", "true"), ("c % 10 = 0", "Scan Parcels", "Keep Released", "true"),
-            ("c % 9 = 0", "Store Parcels", "Scan Parcels", "true"),
+            ("true", "codes", "Write Bills", "true"), ("true", "Pull Readings", "Sort By Meter", "true"),
+            (FILTERED, "Sort By Meter", "Keep Billable", "true"), (FILTERED, "Keep Billable", "Write Bills", "true"),
+            ("c % 3 = 1", "Sort By Meter", "Write Bills", f"NOT ({OFF})"), ("c % 9 = 0", "Write Bills", "codes", "true"),
         ]),
     ],
 }

@@ -223,18 +223,18 @@ def repeatability(spark, sf):
 # Captured answers: one per line item, whose part number decides what is wrong with it.
 CASES = f"SELECT o_orderkey AS k, o_custkey AS c, {FMT.replace('k %', 'o_orderkey %')} AS fmt FROM orders"
 DEFECT = "p % 8"
-SOURCE = "CASE fmt WHEN 'hop' THEN concat('inbox.extra_', c % 4) ELSE concat('inbox.parcels_', c % 7) END"
+SOURCE = "CASE fmt WHEN 'hop' THEN concat('grid.late_', c % 4) ELSE concat('grid.readings_', c % 7) END"
 BODY = f"""concat(CASE WHEN s % 3 = 0 THEN '```json\\n' ELSE '' END, CASE WHEN {DEFECT} = 6 THEN 'no answer' ELSE concat(
- '{{"pipeline_summary": {{"text": "flow ', k, '", "evidence_refs": ["ev-0001"]}}, "business_logic": [{{"text": "a", "evidence_refs": ["ev-0002"',
+ '{{"pipeline_summary": {{"text": "bill ', k, '", "evidence_refs": ["ev-0001"]}}, "business_logic": [{{"text": "a", "evidence_refs": ["ev-0002"',
  CASE WHEN {DEFECT} = 2 THEN ', "ev-7777"' ELSE '' END, ']}}, {{"text": "b", "evidence_refs": []}}], "sql_explanations": [',
  CASE WHEN {DEFECT} = 3 THEN '{{"sql_id": "sql-0042", "text": "q", "evidence_refs": ["ev-0003"]}}'
       WHEN fmt <> 'kjb' THEN '{{"sql_id": "sql-0001", "text": "q", "evidence_refs": ["ev-0003"]}}' ELSE '' END,
  '], "source_target_interpretation": [',
- CASE WHEN {DEFECT} = 4 THEN concat('{{"source": "nowhere.parcels", "target": "freight.out_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
-      WHEN fmt <> 'kjb' THEN concat('{{"source": "', {SOURCE}, '", "target": "freight.out_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
+ CASE WHEN {DEFECT} = 4 THEN concat('{{"source": "nowhere.meters", "target": "billing.due_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
+      WHEN fmt <> 'kjb' THEN concat('{{"source": "', {SOURCE}, '", "target": "billing.due_', k % 11, '", "text": "x", "evidence_refs": ["ev-0001"]}}')
       ELSE '' END,
- '], "dependency_summary": [{{"from": "', CASE WHEN fmt = 'kjb' THEN 'START' ELSE 'Scan Parcels' END, '", "to": "',
- CASE WHEN {DEFECT} = 5 THEN 'Nowhere' WHEN fmt = 'kjb' THEN 'Run Flow' ELSE 'Keep Released' END, '", "text": "y", "evidence_refs": ["ev-0001"]}}]',
+ '], "dependency_summary": [{{"from": "', CASE WHEN fmt = 'kjb' THEN 'START' ELSE 'Pull Readings' END, '", "to": "',
+ CASE WHEN {DEFECT} = 5 THEN 'No Such Step' WHEN fmt = 'kjb' THEN 'Run Billing' ELSE 'Sort By Meter' END, '", "text": "y", "evidence_refs": ["ev-0001"]}}]',
  CASE WHEN {DEFECT} = 1 THEN '' ELSE ', "migration_assistance": [], "warnings": []' END, '}}') END, CASE WHEN s % 3 = 0 THEN '\\n```' ELSE '' END)"""
 
 
@@ -263,8 +263,8 @@ judged AS (SELECT case_id, attempt, fmt, CASE WHEN {DEFECT} = 7 THEN 'timeout' E
  WHEN NOT known THEN 'AI result contains unknown evidence refs: [''ev-0001'', ''ev-0002''' || CASE WHEN fmt <> 'kjb' OR {DEFECT} = 3 THEN ', ''ev-0003''' ELSE '' END || ']'
  WHEN {DEFECT} = 2 THEN 'AI result contains unknown evidence refs: [''ev-7777'']'
  WHEN {DEFECT} = 3 THEN {_TEXT}sql_id: sql-0042'
- WHEN {DEFECT} = 4 THEN {_TEXT}source: nowhere.parcels'
- WHEN {DEFECT} = 5 THEN {_TEXT}dependency target: Nowhere' END AS error FROM answers)"""
+ WHEN {DEFECT} = 4 THEN {_TEXT}source: nowhere.meters'
+ WHEN {DEFECT} = 5 THEN {_TEXT}dependency target: No Such Step' END AS error FROM answers)"""
 
 
 @query(with_sql(ERRORS_SQL) + "SELECT case_id, attempt, transport_error, error FROM judged")
@@ -330,7 +330,7 @@ def fallback_description(spark, sf):
     return rows.withColumn("evidence_refs", F.array_join("evidence_refs", ","))
 
 
-REDACTED_SQL = "replace(value, '''RELEASED''', '''[REDACTED_LITERAL]''')"
+REDACTED_SQL = "replace(value, '''BILLABLE''', '''[REDACTED_LITERAL]''')"
 
 
 @query(
@@ -348,7 +348,7 @@ def export_context(spark, sf):
     sql_at = F.filter(
         F.from_json(F.get_json_object("context", "$.evidence"), "array<struct<kind: string, value: string>>"), lambda e: e["kind"] == "sql"
     )
-    leaks = F.col("context").rlike("password|2026-01-01|hub.invalid|'RELEASED'")
+    leaks = F.col("context").rlike("password|quarter|meters-[0-9]|'BILLABLE'")
     return contexts.select(
         "artifact_id", F.get_json_object("context", "$.sql[0].statement").alias("statement"),
         F.get(sql_at, F.lit(0))["value"].alias("sql_evidence"), size("steps"), size("hops"), size("evidence"),

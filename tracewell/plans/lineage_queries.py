@@ -72,7 +72,7 @@ def classify_role(spark, sf):
 
 @query(
     with_sql(ITEMS_SQL)
-    + """SELECT artifact_id, sql_id, i AS position, CASE i WHEN 0 THEN 'inbox.parcels_' || (c % 7) ELSE 'master.depots_' || (c % 3) END
+    + """SELECT artifact_id, sql_id, i AS position, CASE i WHEN 0 THEN 'grid.readings_' || (c % 7) ELSE 'assets.meters_' || (c % 3) END
  AS table_name FROM items CROSS JOIN (VALUES (0), (1)) v(i) WHERE kind = 'sql'"""
 )
 def sql_table_refs(spark, sf):
@@ -194,13 +194,13 @@ def lineage_edges(spark, sf):
        WHERE kind = 'table' AND is_endpoint AND role = 'source' GROUP BY 1, 2) s
  JOIN (SELECT artifact_id, name, string_agg(evidence_id, ',' ORDER BY position) AS refs FROM items
        WHERE kind = 'table' AND is_endpoint AND role = 'target' GROUP BY 1, 2) t USING (artifact_id)
- WHERE s.name LIKE 'inbox.%'"""
+ WHERE s.name LIKE 'grid.%' AND t.name LIKE 'billing.due_%'"""
 )
 def source_target_pairs(spark, sf):
     endpoints = stored_tables(spark, sf)["endpoints"]
     claimed = load(spark, sf, "orders").selectExpr(KEYS.split(",")[0], KEYS.split(",")[1].strip()).selectExpr(
         f"{PATH} AS artifact_id",
-        "explode(array(concat('inbox.parcels_', c % 7), concat('inbox.extra_', c % 4), 'inbox.none')) AS source",
-        "concat('freight.out_', k % 11) AS target",
+        "explode(array(concat('grid.readings_', c % 7), concat('grid.late_', c % 4), 'grid.none')) AS source",
+        "concat('billing.due_', k % 11) AS target",
     )
     return flat(lineage.pair_evidence(claimed, endpoints))

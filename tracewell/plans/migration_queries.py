@@ -74,7 +74,7 @@ def _migrated(tables):
     number = F.regexp_extract("artifact_id", r"a(\d+)\.", 1).cast("long")
     changed = dict(tables)
     changed["parameters"] = tables["parameters"].where(number % 3 != 1)
-    changed["steps"] = tables["steps"].where((number % 5 != 2) | (F.col("name") != "Keep Released"))
+    changed["steps"] = tables["steps"].where((number % 5 != 2) | (F.col("name") != "Sort By Meter"))
     renamed = F.when((number % 7 == 3) & (F.col("direction") == "target"), F.concat("name", F.lit("_v2"))).otherwise(F.col("name"))
     changed["endpoints"] = tables["endpoints"].withColumn("name", renamed)
     other = F.when(number % 11 == 4, F.concat("statement", F.lit(" AND 1 = 1"))).otherwise(F.concat(F.lit("\n "), F.upper("statement")))
@@ -86,7 +86,7 @@ CHECKS_SQL = rf"""facts AS (
  SELECT artifact_id, 'legacy' AS side, kind, role, name, value FROM items
  UNION ALL SELECT artifact_id, 'target', kind, role, CASE WHEN kind = 'table' AND role = 'target' AND k % 7 = 3 THEN name || '_v2' ELSE name END,
  CASE WHEN kind <> 'sql' THEN value WHEN k % 11 = 4 THEN value || ' AND 1 = 1' ELSE value END
- FROM items WHERE NOT (kind = 'parameter' AND k % 3 = 1) AND NOT (kind = 'step' AND k % 5 = 2 AND name = 'Keep Released')),
+ FROM items WHERE NOT (kind = 'parameter' AND k % 3 = 1) AND NOT (kind = 'step' AND k % 5 = 2 AND name = 'Sort By Meter')),
 ends AS (SELECT artifact_id, position FROM items WHERE is_endpoint),
 listed AS (
  SELECT artifact_id, side, 'source tables preserved' AS chk, list_sort(list(DISTINCT name)) AS v FROM facts WHERE kind = 'table' AND role = 'source' GROUP BY 1, 2
