@@ -21,7 +21,7 @@ HOT_LIST, HOT_DOCS, HOT_LOCAL = 65_536, 64, 4
 CELL_ROWS, LEAF, FANOUT = 4096, 16, 8
 SEEDS = flat.mix(np.arange(1, 4, dtype=np.uint64) * flat.MIX)
 BROADCAST_IDS = 500_000
-MANY_ROOTS, WIDE_BITS, MOST_WIDE, SPANNING_ROUNDS = 32, 8, 4096, 2
+MANY_ROOTS, WIDE_BITS, MOST_WIDE, SPANNING_ROUNDS = 64, 8, 4096, 2
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,9 +71,11 @@ def hot_shingles(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.sort(np.array(rows.column("h"), np.int64).view(np.uint64))
 
 
-def signature(hashes: np.ndarray, bits_each: int = 1) -> np.ndarray:
-    """Bitmap of a set as 64-bit words, of at least ``bits_each`` bits a member; halves fold onto each other by OR."""
-    width = max(64, bits_each << (len(hashes) - 1).bit_length())
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of a set as 64-bit words; halves fold onto each other by OR. It has at least one bit a member, and up to
+    WIDE_BITS as long as it has MOST_WIDE at most: the wider it is, the fewer unlike sets look alike."""
+    each = 1 << (len(hashes) - 1).bit_length()
+    width = max(64, each, min(WIDE_BITS * each, MOST_WIDE))
     bits = np.zeros(width, bool)
     bits[hashes & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -271,13 +273,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """``doc, mark, k, n, prefix, sig, wide, mins, at`` per document: its id, hash of its text, key and size of its set, its smallest
+    """``doc, mark, k, n, prefix, sig, mins, at`` per document: its id, hash of its text, key and size of its set, its smallest
     shingles by three other orders, the first shingles in the common order
     (those not in ``hot`` ascending, then the others), of which similar sets share one, and the bitmap.
 
-    ``k`` is null for documents without words; prefix and bitmaps (``wide`` has up to WIDE_BITS times the bits, MOST_WIDE
-    at most unless the other has more) stand at the first
-    document of a key in each slice. ``at`` numbers the rows.
+    ``k`` is null for documents without words; prefix and bitmap stand at the first document of a key in each slice.
+    ``at`` numbers the rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -286,7 +287,7 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
         for part in flat.pieces(batches, "text"):
             values, bounds = shingle_sets(part.column("text"))
             late = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(len(values), bool)
-            keys, prefixes, bitmaps, wides, mins, seen = [], [], [], [], [], set()
+            keys, prefixes, bitmaps, mins, seen = [], [], [], [], set()
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own, size = values[a:b], b - a
                 key = _key(own.tobytes()) if size else None
@@ -294,26 +295,22 @@ def shingle_index(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str)
                 if not size or key in seen:
                     prefixes.append(None)
                     bitmaps.append(None)
-                    wides.append(None)
                     mins.append(None)
                     continue
                 seen.add(key)
                 order = np.concatenate([own[~late[a:b]], own[late[a:b]]])
                 prefixes.append(order[: size - (4 * size + 4) // 5 + 1].view(np.int64))
-                wide = signature(own, WIDE_BITS)
-                narrow = max(len(wide) // WIDE_BITS, 1)
-                bitmaps.append(fold(wide, narrow).tobytes())
-                wides.append(fold(wide, max(narrow, MOST_WIDE // 64)).tobytes())
+                bitmaps.append(signature(own).tobytes())
                 mins.append([int(flat.mix(own ^ seed).min().view(np.int64)) for seed in SEEDS])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()), pa.array(wides, pa.binary()),
+                [part.column("doc"), part.column("mark"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.binary()),
                  pa.array(mins, pa.list_(pa.int64())), pa.array(np.arange(at, at + part.num_rows))],
-                ["doc", "mark", "k", "n", "prefix", "sig", "wide", "mins", "at"],
+                ["doc", "mark", "k", "n", "prefix", "sig", "mins", "at"],
             )
             at += part.num_rows
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary, wide binary, mins array<long>, at long")
+    return rows.mapInArrow(run, "doc long, mark long, k long, n long, prefix array<long>, sig binary, mins array<long>, at long")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -323,15 +320,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stored = _first_of_keys(index.where("prefix is not null"))
 
     def pairs_of(cells: DataFrame, spanning: bool) -> DataFrame:
-        """Candidate pairs of cells; those of many roots get the wide bitmaps, which leave few unlike pairs."""
-        many = cells.select("h", "root").distinct().groupBy("h").agg((F.count(F.lit(1)) > MANY_ROOTS).alias("many"))
-        marked = written(cells.join(many, "h"), "cells")
-        out = []
-        for flag, sig in (("NOT many", "sig"), ("many", "wide")):
-            own = marked.where(flag).drop("many")
-            wanted = stored.select("k", F.col(sig).alias("sig")).join(own.select("k").distinct(), "k", "left_semi")
-            out.append(_candidates(own.join(wanted, "k"), spanning))
-        return out[0].unionByName(out[1]).distinct()
+        wanted = stored.select("k", "sig").join(cells.select("k").distinct(), "k", "left_semi")
+        return _candidates(cells.join(wanted, "k"), spanning)
 
     def linked(pairs: DataFrame) -> DataFrame:
         return written(_verified(pairs, _sets(docs, index, pairs, id_col, text_col)), "links")
@@ -343,7 +333,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     size = F.count(F.lit(1)).over(cell)
     mins = stored.select("k", "n", F.explode("mins").alias("h")).withColumns({"c": size, "_k0": F.min("k").over(cell), "_k1": F.max("k").over(cell)})
     starts = mins.where("_k0 <> _k1").select("h", "k", "n", F.lit(None).cast("long").alias("prev"), F.lit(0).alias("rank"), "c", F.col("k").alias("root"))
-    checked = written(pairs_of(starts, True), "pairs")
+    checked = written(pairs_of(written(starts, "first_cells"), True), "pairs")
     links = linked(checked)
     roots = written(components(links), "roots")
 
@@ -351,22 +341,21 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tokens = labelled(stored, roots).select("k", "n", "root", F.inline(F.transform("prefix", before)))
     measured = tokens.withColumns({"c": size, "_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell), "_p": F.count("prev").over(cell), "_p0": F.min("prev").over(cell), "_p1": F.max("prev").over(cell), "_n0": F.min("n").over(cell)})
     some_room = "9 * (n - rank) >= 4 * (n + greatest(_n0, 0.8D * n))"
-    live = measured.where(f"_r0 <> _r1 AND (_p < c OR _p0 <> _p1) AND {some_room}").select("h", "k", "n", "prev", "rank", "c", "root")
-    live = written(live, "live")
+    mixed = measured.where(f"_r0 <> _r1 AND (_p < c OR _p0 <> _p1) AND {some_room}")
+    live = written(_with_roots(mixed.select("h", "k", "n", "prev", "rank", "c", "root")), "live")
 
-    # Cells of many roots first give the few pairs that would join them, until these give no more links.
+    # Cells of many roots first give the few pairs that would join them; what they link is one root to all cells then.
+    crowded = live.where(F.col("roots") > MANY_ROOTS)
     for _ in range(SPANNING_ROUNDS):
-        many = live.select("h", "root").distinct().groupBy("h").count().where(F.col("count") > MANY_ROOTS).select("h")
-        crowded = live.join(many, "h", "left_semi")
-        if crowded.isEmpty():
-            break
-        tried = written(pairs_of(crowded, True).join(checked, ["a", "b"], "left_anti"), "pairs")
-        more = linked(tried) if not tried.isEmpty() else tried
-        if more.isEmpty():
+        tried = written(pairs_of(crowded, True).join(checked, ["a", "b"], "left_anti"), "pairs") if not crowded.isEmpty() else None
+        more = linked(tried) if tried is not None and not tried.isEmpty() else None
+        if more is None or more.isEmpty():
             break
         checked, links = checked.unionByName(tried), links.unionByName(more)
         roots = written(components(links), "roots")
-        live = written(_mixed(labelled(live, roots)), "live")
+        again = labelled(live.drop("roots"), roots)
+        live = written(_with_roots(again.withColumns({"_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell)}).where("_r0 <> _r1").drop("_r0", "_r1")), "live")
+        crowded = live.where(F.col("roots") > MANY_ROOTS)
 
     last = written(pairs_of(live, False).join(checked, ["a", "b"], "left_anti"), "pairs")
     if not last.isEmpty():
@@ -385,10 +374,10 @@ def _first_of_keys(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(again) if few else again.hint("merge"), "at", "left_anti")
 
 
-def _mixed(cells: DataFrame) -> DataFrame:
-    """The rows of cells that still have several roots."""
-    several = cells.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
-    return cells.join(several, "h", "left_semi")
+def _with_roots(cells: DataFrame) -> DataFrame:
+    """The rows with the number of different roots in their cell, in the partitioning that they have."""
+    by_root = Window.partitionBy("h").orderBy("root")
+    return cells.withColumn("_nth", F.dense_rank().over(by_root)).withColumn("roots", F.max("_nth").over(Window.partitionBy("h"))).drop("_nth")
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,8 +392,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     it leaves are checked with the whole sets. Cells too large for a task are split by size bands and salts without
     losing a pair. The first round takes the sets' smallest shingles by three orders and links clusters by few pairs.
     Then come cells in which similar sets meet for sure: they share one of their first shingles in a common order, rare
-    before frequent. Cells of more than MANY_ROOTS components first give spanning pairs only, at most one a member, by
-    wider bitmaps; the last round is complete and checks every pair between different components that the bitmaps leave.
+    before frequent. Cells of more than MANY_ROOTS components first give spanning pairs only, at most one a
+    member; the last round is complete and checks every pair between different components that the bitmaps leave.
     """
     named = _labelled(docs, id_col, text_col)
     smallest = written(named.where("root is not null").groupBy("root").agg(F.min("doc").alias("least")), "names")
