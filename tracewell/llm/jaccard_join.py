@@ -344,8 +344,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     mixed = measured.where(f"_r0 <> _r1 AND (_p < c OR _p0 <> _p1) AND {some_room}")
     live = written(_with_roots(mixed.select("h", "k", "n", "prev", "rank", "c", "root")), "live")
 
-    # Cells of many roots first give the few pairs that would join them; what they link is one root to all cells then.
-    crowded = live.where(F.col("roots") > MANY_ROOTS)
+    # Cells of many roots first give the few pairs that would join them, and are then told what these link.
+    plain, crowded = live.where(F.col("roots") <= MANY_ROOTS), live.where(F.col("roots") > MANY_ROOTS)
     for _ in range(SPANNING_ROUNDS):
         tried = written(pairs_of(crowded, True).join(checked, ["a", "b"], "left_anti"), "pairs") if not crowded.isEmpty() else None
         more = linked(tried) if tried is not None and not tried.isEmpty() else None
@@ -353,11 +353,10 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             break
         checked, links = checked.unionByName(tried), links.unionByName(more)
         roots = written(components(links), "roots")
-        again = labelled(live.drop("roots"), roots)
-        live = written(_with_roots(again.withColumns({"_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell)}).where("_r0 <> _r1").drop("_r0", "_r1")), "live")
-        crowded = live.where(F.col("roots") > MANY_ROOTS)
+        again = labelled(crowded, roots).withColumns({"_r0": F.min("root").over(cell), "_r1": F.max("root").over(cell)})
+        crowded = written(again.where("_r0 <> _r1").drop("_r0", "_r1"), "crowded")
 
-    last = written(pairs_of(live, False).join(checked, ["a", "b"], "left_anti"), "pairs")
+    last = written(pairs_of(plain.unionByName(crowded), False).join(checked, ["a", "b"], "left_anti"), "pairs")
     if not last.isEmpty():
         more = linked(last)
         roots = roots if more.isEmpty() else written(components(links.unionByName(more)), "roots")
