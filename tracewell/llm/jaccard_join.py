@@ -21,7 +21,7 @@ HOT_LIST, HOT_DOCS, HOT_LOCAL = 65_536, 64, 4
 CELL_ROWS, LEAF, FANOUT = 4096, 16, 8
 SEEDS = flat.mix(np.arange(1, 4, dtype=np.uint64) * flat.MIX)
 BROADCAST_IDS = 500_000
-MANY_ROOTS, WIDE_BITS, MOST_WIDE, SPANNING_ROUNDS = 64, 8, 4096, 2
+MANY_ROOTS, WIDE_BITS, MOST_WIDE, SPANNING_ROUNDS = 256, 8, 2048, 2
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
