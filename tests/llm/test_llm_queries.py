@@ -135,7 +135,6 @@ def test_sharding(spark, docs):
 
 def test_packing(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
-    tokenizer.encode_special_tokens = True
     ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in docs}
     got = queries.op7_packing(spark, SF).toPandas()
     for d, pieces in got.sort_values("start").groupby("doc_id"):
@@ -168,7 +167,6 @@ def test_decontamination(spark, docs):
 
 def test_token_files(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.WORD_BPE))
-    tokenizer.encode_special_tokens = True
     got = {r.doc_id: tuple(r)[1:] for r in queries.op10_token_files(spark, SF).collect()}
     at = 0
     for d, text in sorted(docs):
