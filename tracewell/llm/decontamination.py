@@ -147,13 +147,13 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _blocks(items: DataFrame, item_id: str, text: str) -> list:
     """Broadcast blocks of items of at most about BLOCK_BYTES each; a worker holds the automaton of one at a time."""
     spark = items.sparkSession
-    rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = total // BLOCK_BYTES + 1
     out = []
     for k in range(count):
         block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else rows
-        out.append(spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in block.collect())))
+        out.append(spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
     return out
 
 
@@ -175,8 +175,8 @@ def contamination(
 
     Words are runs of ASCII letters and digits and non-ASCII bytes, lower case. A window is ``window`` consecutive words of an item; an item of fewer words is one
     window as a whole, and an item without words none. A word is hit inside any occurrence of a window; touching
-    occurrences are one span. Null texts have no words. Items that are null or have a null id are ignored, repeated
-    items count once per id. Columns of ``docs`` named like a new one are replaced.
+    occurrences are one span. Null texts have no words. Items without a text are ignored; the words of
+    items without an id count as hit, but name no item; repeated items count once per id. Columns of ``docs`` named like a new one are replaced.
 
     Items are broadcast in blocks of a checked size. Words and neighbouring pairs that stand in no item are passed
     over by hash; what remains goes word by word through the automaton, so a hash never decides a match.
@@ -214,7 +214,7 @@ def contamination(
             for x, y in zip(own[np.append(0, cut + 1)].tolist(), own[np.append(cut, len(own) - 1)].tolist(), strict=True):
                 spans[doc].append({"first": int(start[x] - offsets[doc]), "end": int(end[y] - offsets[doc])})
         return [
-            pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(s) for s in found], pa.list_(pa.int64())), pa.array(spans, pa.list_(span)),
+            pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(s - {None}) for s in found], pa.list_(pa.int64())), pa.array(spans, pa.list_(span)),
         ]
 
     return flat.appended(docs, text_col, fields, compute)
