@@ -18,6 +18,7 @@ from tracewell.session import work_path, written
 
 GRAM = 32
 BLOCK_BYTES = 2 << 20
+SEARCH_BYTES = 256 << 10
 INDEX_BYTES = 1 << 20
 PLACE_BITS = 28
 STEP = 16
@@ -69,34 +70,43 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     backward by each byte c before its members, which gives the interval of cw; where that interval ends, the common
     prefix is as long as w if no shorter one was found there. Only intervals that settle an end go on. Common
     prefixes thus appear by increasing value, and the search stops at ``least``: what is unsettled then is longer.
+
+    Members that follow each other and have the same byte before them stay together, so an interval is extended by
+    the runs of equal bytes in it, not member by member; most intervals have one run and need one look-up.
     """
     n = len(text)
     before = text[order - 1]
-    step = np.empty(n, np.int64)
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    step = np.empty(n, np.int32)
+    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     first = np.sort(before)
-    byte_changes = first[1:] != first[:-1]
+    byte_opens = np.concatenate([[True], first[1:] != first[:-1]])
+    run_opens = np.concatenate([[True], before[1:] != before[:-1]])
+    run = np.cumsum(run_opens, dtype=np.int32) - 1
+    run_low = np.append(np.flatnonzero(run_opens), n)
     settled = np.zeros(n + 1, bool)
     settled[[0, n]] = True
     low, high = np.array([0]), np.array([n])
     for level in range(least):
-        size = high - low
-        place = flat.ranges(low, size)
-        owner = np.repeat(np.arange(len(low), dtype=np.int32), size)
-        if 8 * len(place) > n:
-            # Most places take part: put each interval's number where its members step to, and read off the runs.
-            there = np.full(n, -1, np.int32)
-            there[step[place]] = owner
-            change = np.flatnonzero((there[1:] != there[:-1]) | byte_changes) + 1
-            edges = np.concatenate([[0], change, [n]])
-            inside = there[edges[:-1]] >= 0
-            new_low, new_high = edges[:-1][inside], edges[1:][inside]
-        else:
-            moved = step[place]
+        a, b = run[low], run[high - 1]
+        mixed = np.flatnonzero(a != b)
+        new_low = step[low].astype(np.int64)
+        new_high = new_low + (high - low)
+        if len(mixed):
+            count = b[mixed] - a[mixed] + 1
+            owner = np.repeat(mixed, count)
+            r = flat.ranges(a[mixed], count)
+            start = np.maximum(run_low[r], low[owner])
+            size = np.minimum(run_low[r + 1], high[owner]) - start
+            moved = step[start]
             by_step = np.argsort(moved)
-            moved, owner = moved[by_step], owner[by_step]
-            opens = np.append(0, np.flatnonzero((np.diff(moved) != 1) | (np.diff(owner) != 0) | byte_changes[moved[:-1]]) + 1)
-            new_low, new_high = moved[opens], moved[np.append(opens[1:], len(moved)) - 1] + 1
+            moved, size, owner = moved[by_step], size[by_step], owner[by_step]
+            joined = (moved[1:] == moved[:-1] + size[:-1]) & (owner[1:] == owner[:-1]) & ~byte_opens[moved[1:]]
+            opens = np.flatnonzero(np.concatenate([[True], ~joined]))
+            ends = np.append(opens[1:], len(moved)) - 1
+            alone = np.ones(len(low), bool)
+            alone[mixed] = False
+            new_low = np.concatenate([new_low[alone], moved[opens]])
+            new_high = np.concatenate([new_high[alone], moved[ends] + size[ends]])
         fresh = ~settled[new_high]
         if level == 0:
             settled[new_high] = True
@@ -215,7 +225,7 @@ def _searched(regions: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             for r in batch.to_pylist():
-                if size >= BLOCK_BYTES and r["fp"] != last:
+                if size >= min(SEARCH_BYTES, BLOCK_BYTES) and r["fp"] != last:
                     yield search()
                     held, size = [], 0
                 held.append(r)
@@ -337,9 +347,10 @@ def remove_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", te
     Every place belongs to the region of its string's anchor, so equal strings start in regions of one fingerprint.
     Regions are folded to distinct ones with a count (by two 64-bit hashes) before they move. A fingerprint with one
     region in all is not repeated; one whose region has only copies is repeated as a whole; the texts of the
-    others are fetched once, and blocks of about BLOCK_BYTES of them are sorted and searched; a fingerprint that has
-    more bytes by itself is split and counted instead, so a block never exceeds twice that size. Texts are stored in
-    buckets of a row number, so that only places, regions and spans are shuffled, at every size alike.
+    others are fetched once, and blocks of about SEARCH_BYTES of them, or one fingerprint of up to BLOCK_BYTES, are
+    sorted and searched; a fingerprint that has more bytes by itself is split and counted instead, so a block never
+    exceeds twice that size. Texts are stored in buckets of a row number, so that only places, regions and spans are
+    shuffled, at every size alike.
     """
     if least <= GRAM:
         raise ValueError(f"least must be over {GRAM}")
