@@ -129,13 +129,20 @@ def event_message(status: Column, is_insert: Column, error: Column) -> Column:
     )
 
 
-def lifecycle_events(changes: DataFrame, key: str = "execution_id", order: tuple[str, ...] = ("changed_at", "change_no")) -> DataFrame:
-    """Events from status changes: STARTED for an attempt's first row, then one for each changed status."""
+def lifecycle_events(
+    changes: DataFrame, key: str = "execution_id", order: tuple[str, ...] = ("changed_at", "change_no"),
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Events from status changes: STARTED for an attempt's first row, then one for each changed status.
+
+    ``sizes`` may hand over ``largest_group`` of the changes by their key.
+    """
     seen = running(
         changes,
         [key],
         order,
         {"_previous": ("lag", "status"), "_nth": ("row_number",)},
+        sizes=sizes,
     )
     first = F.col("_nth") == 1
     return (
@@ -195,10 +202,13 @@ def merge_on_shared(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> D
     return left.join(right, list(on), "inner")
 
 
-def run_events(events: DataFrame, log: DataFrame) -> DataFrame:
-    """Events with the identity of their attempt."""
+def run_events(events: DataFrame, log: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Events with the identity of their attempt.
+
+    An attempt has no more events than changes, so ``largest_group`` of the changes may be handed over as ``sizes``.
+    """
     identity = log.select("execution_id", *ATTEMPT_KEY, "correlation_id")
-    return spread_join(events, identity, ["execution_id"], "inner")
+    return spread_join(events, identity, ["execution_id"], "inner", sizes=sizes)
 
 
 def attempt_history(log: DataFrame, order: tuple[str, ...] = ("attempt_number", "execution_id"), page: int = 1000) -> DataFrame:
@@ -213,14 +223,19 @@ def attempt_history(log: DataFrame, order: tuple[str, ...] = ("attempt_number",
     return _joined_text(log.withColumn("_entry", entry), order, "attempt_history", page)
 
 
-def event_sequence(events: DataFrame, order: tuple[str, ...] = ("event_at", "change_no"), page: int = 1000) -> DataFrame:
-    """Per correlation id the event types in order."""
-    return _joined_text(events.withColumn("_entry", F.col("event_type")), order, "event_sequence", page)
+def event_sequence(
+    events: DataFrame, order: tuple[str, ...] = ("event_at", "change_no"), page: int = 1000,
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Per correlation id the event types in order; ``sizes`` may hand over a bound such as ``largest_group`` of the
+    changes by correlation id, as a run has no more events than changes."""
+    return _joined_text(events.withColumn("_entry", F.col("event_type")), order, "event_sequence", page, sizes)
 
 
-def _joined_text(df: DataFrame, order: tuple[str, ...], out: str, page: int) -> DataFrame:
+def _joined_text(df: DataFrame, order: tuple[str, ...], out: str, page: int, sizes: tuple[int, int] | None = None) -> DataFrame:
     """One text per correlation id, continued on further pages where a run has more entries than fit one."""
-    numbered = running(df.select("correlation_id", *order, "_entry"), ["correlation_id"], order, {"_nth": ("row_number",)})
+    entries = df.select("correlation_id", *order, "_entry")
+    numbered = running(entries, ["correlation_id"], order, {"_nth": ("row_number",)}, sizes=sizes)
     entries = F.array_sort(F.collect_list(F.struct("_nth", "_entry")))
     return (
         numbered.groupBy("correlation_id", F.floor((F.col("_nth") - 1) / page).alias("page"))

@@ -8,6 +8,7 @@ from tracewell.operators import audit
 from tracewell.plans.views import (
     AS_OF, CHANGES_SQL, LOG_SQL, RUN_ID, TARGET_SQL, as_of, exec_changes, exec_log, load, target_rows, with_sql,
 )
+from tracewell.scale import largest_group
 from tracewell.session import work_path
 
 QUERIES, ORACLES = {}, {}
@@ -129,8 +130,10 @@ def lifecycle_events(spark, sf):
  FROM lifecycle e JOIN exec_log l ON e.execution_id = l.execution_id"""
 )
 def run_events(spark, sf):
-    events = audit.lifecycle_events(exec_changes(spark, sf)).select("execution_id", "event_type")
-    return audit.run_events(events, exec_log(spark, sf))
+    changes = exec_changes(spark, sf)
+    sizes = largest_group(changes, ["execution_id"])
+    events = audit.lifecycle_events(changes, sizes=sizes).select("execution_id", "event_type")
+    return audit.run_events(events, exec_log(spark, sf), sizes)
 
 
 @query(
@@ -142,9 +145,10 @@ def run_events(spark, sf):
  FROM numbered GROUP BY 1, 2"""
 )
 def event_sequence(spark, sf):
-    events = audit.lifecycle_events(exec_changes(spark, sf))
-    log = exec_log(spark, sf)
-    return audit.event_sequence(audit.run_events(events, log), ("event_at", "execution_id", "change_no"))
+    changes = exec_changes(spark, sf)
+    by_attempt, by_run = (largest_group(changes, [key]) for key in ("execution_id", "correlation_id"))
+    events = audit.run_events(audit.lifecycle_events(changes, sizes=by_attempt), exec_log(spark, sf), by_attempt)
+    return audit.event_sequence(events, ("event_at", "execution_id", "change_no"), sizes=by_run)
 
 
 @query(
