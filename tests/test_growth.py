@@ -1,9 +1,11 @@
 """What is counted, and into how many tasks rows go, does not hold work back as the input grows."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tracewell import scale
-from tracewell.plans import audit_queries
+from tracewell.plans import audit_queries, evaluation_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +33,9 @@ def test_events_of_runs_are_not_computed_to_be_counted(spark, monkeypatch):
         counted.clear()
         audit_queries.QUERIES[name](spark, SF)
         assert len(counted) == passes and not any("Window" in plan for plan in counted)
+
+
+def test_both_extractions_use_every_core(spark):
+    plan = evaluation_queries.repeatability(spark, SF)._jdf.queryExecution().analyzed().toString()
+    parts = {int(n) for n in re.findall(r"RepartitionByExpression \[(?:k|stem)#\d+L?\], (\d+)", plan)}
+    assert len(parts) == 2 and min(parts) >= 2 * spark.sparkContext.defaultParallelism
