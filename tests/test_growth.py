@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell import scale
@@ -39,3 +40,17 @@ def test_both_extractions_use_every_core(spark):
     plan = evaluation_queries.repeatability(spark, SF)._jdf.queryExecution().analyzed().toString()
     parts = {int(n) for n in re.findall(r"RepartitionByExpression \[(?:k|stem)#\d+L?\], (\d+)", plan)}
     assert len(parts) == 2 and min(parts) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def planned(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+@pytest.mark.parametrize(
+    "queries, name, step",
+    [
+        (evaluation_queries, "analyze", "from_xml"), (evaluation_queries, "result_quality", "from_xml"),
+    ],
+)
+def test_what_is_read_again_is_not_computed_again(spark, queries, name, step):
+    assert step not in planned(queries.QUERIES[name](spark, SF))
