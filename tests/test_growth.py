@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import scale
+from tracewell.operators import results
 from tracewell.plans import audit_queries, evaluation_queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,15 @@ def planned(df, kind="optimizedPlan"):
 )
 def test_what_is_read_again_is_not_computed_again(spark, queries, name, step):
     assert step not in planned(queries.QUERIES[name](spark, SF))
+
+
+def test_an_answer_is_written_as_text_and_searched_once(spark):
+    body = '{"business_logic": [{"evidence_refs": ["ev-1", "ev-2"]}], "warnings": [{"evidence_refs": [["ev-3"]]}], "sql_explanations": [1]}'
+    rows = spark.createDataFrame([("a", 1, body), ("b", 1, "no answer"), ("c", 1, None)], "case_id string, attempt int, body string")
+    parsed = results.parse_results(rows)
+    plan = planned(parsed)
+    # Counting the keys is one search and taking the lists another.
+    assert plan.count("StructsToJsonEvaluator") == 1 and plan.count("regexp_extract_all(") == 2
+    got = {r.case_id: (r.cited, r.misshapen) for r in parsed.collect()}
+    everything = ["sql_explanations", "source_target_interpretation", "dependency_summary"]
+    assert got == {"a": (["ev-1", "ev-2", "(nested list)"], everything), "b": (None, everything), "c": (None, everything)}
