@@ -51,6 +51,7 @@ def planned(df, kind="optimizedPlan"):
     "queries, name, step",
     [
         (evaluation_queries, "analyze", "from_xml"), (evaluation_queries, "result_quality", "from_xml"),
+        (evaluation_queries, "confusion_metrics", "min_by"),
     ],
 )
 def test_what_is_read_again_is_not_computed_again(spark, queries, name, step):
