@@ -58,6 +58,11 @@ def test_what_is_read_again_is_not_computed_again(spark, queries, name, step):
     assert step not in planned(queries.QUERIES[name](spark, SF))
 
 
+def test_a_document_is_taken_apart_once(spark):
+    plan = planned(evaluation_queries.QUERIES["export_context"](spark, SF))
+    assert "get_json_object(context" not in plan and plan.count("json_tuple(context") == 1
+
+
 def test_an_answer_is_written_as_text_and_searched_once(spark):
     body = '{"business_logic": [{"evidence_refs": ["ev-1", "ev-2"]}], "warnings": [{"evidence_refs": [["ev-3"]]}], "sql_explanations": [1]}'
     rows = spark.createDataFrame([("a", 1, body), ("b", 1, "no answer"), ("c", 1, None)], "case_id string, attempt int, body string")
