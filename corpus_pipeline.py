@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontamination, exact_dedup, jaccard_join, packing, quality, queries
+from tracewell.llm import decontamination, exact_dedup, flat, jaccard_join, packing, quality, queries
 from tracewell.session import written
 
 
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat.small_batches(spark)
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

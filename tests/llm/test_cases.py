@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewell.llm import decontamination, exact_dedup, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, tokens, url_filters
+from tracewell.llm import decontamination, exact_dedup, flat, jaccard_join, language_model, packing, quality, sharding, suffix_dedup, token_files, tokens, url_filters
 from tracewell.llm.components import components
 from tracewell.llm.decontamination import Automaton
 
@@ -176,6 +176,30 @@ def test_decontamination(spark, docs, none):
     assert decontamination.decontaminate(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_decontamination_sends_a_text_once(spark, docs, monkeypatch):
+    sent, appended = [], flat.appended
+    monkeypatch.setattr(flat, "appended", lambda df, *rest: sent.append(df.schema.json()) or appended(df, *rest))
+    items = spark.createDataFrame([(1, "three four five")], "item_id long, text string")
+    left = decontamination.decontaminate(docs, items)
+    assert left.columns == docs.columns and left.count() == len(ROWS) - 4
+    assert sent[0].count('"name":"text"') == 1
+    only = decontamination.decontaminate(docs.select("text"), items)
+    assert only.columns == ["text"] and only.count() == len(ROWS) - 4
+
+
+def test_slices_and_batches_are_small(spark):
+    flat.small_batches(spark)
+    texts = spark.range(3000).selectExpr("repeat('abcd efgh ', 1000) AS text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            slices = [part.nbytes for part in flat.pieces([batch], "text")]
+            yield pa.RecordBatch.from_pydict({"batch": [batch.nbytes], "slice": [max(slices)]})
+
+    rows = texts.mapInArrow(sizes, "batch long, slice long").collect()
+    assert max(r["batch"] for r in rows) < 6 << 20 and max(r["slice"] for r in rows) < 5 << 20
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, PATH, 1, packing.Limits(tokens=64, segments=3, loss_tokens=40)).toPandas()
     by = got.groupby("sequence_id")

@@ -227,11 +227,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     With the default of 0 every document with a hit goes; documents without one are unchanged.
     """
     before = docs.columns
-    seen = contamination(docs.withColumn("_whole", F.struct("*")), items, window, text_col, **names)
+    rest = [F.col(f"`{c}`") for c in before if c != text_col] or [F.lit(True)]
+    seen = contamination(docs.select(text_col, F.struct(*rest).alias("_rest")), items, window, text_col, **names)
     kept = seen.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
     data, spans = F.encode(F.col(text_col), "UTF-8"), F.col("hit_spans")
     inner = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     outer = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.octet_length(F.col(text_col))))
     parts = F.transform(F.arrays_zip(inner.alias("a"), outer.alias("b")), lambda x: F.decode(F.substring(data, x["a"] + 1, x["b"] - x["a"]), "UTF-8"))
     cleaned = F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(F.col(text_col))
-    return kept.withColumn("_clean", cleaned).select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"_whole.`{c}`") for c in before])
+    return kept.withColumn("_clean", cleaned).select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"_rest.`{c}`") for c in before])
