@@ -143,3 +143,19 @@ def test_same_estate_migrates(tables, spark):
 def test_digest_does_not_depend_on_partitioning(corpus):
     digests = corpus.where("truth_digest IS NOT NULL").select("artifact_id", "truth_digest").collect()
     assert len({r["truth_digest"] for r in digests}) == 3
+
+
+def test_table_flow_computes_endpoints_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(step):
+        seen.add(1)
+        return step
+
+    rows = [("a", 0, "s1", "source", "t1", ["e1"]), ("a", 1, "s2", "target", "t2", ["e2"]), ("a", 2, None, "target", "t3", ["e3"])]
+    given = spark.createDataFrame(rows, "artifact_id string, position int, step_id string, direction string, name string, evidence_refs array<string>")
+    attached = given.withColumn("step_id", F.udf(count, "string").asNondeterministic()("step_id"))
+    edges = spark.createDataFrame([("a", "s1", "s2")], "artifact_id string, from_id string, to_id string")
+    flow = [(r["src"], r["dst"], r["evidence_refs"]) for r in lineage.table_flow(attached, edges).collect()]
+    assert flow == [("table:t1", "table:t2", ["e1", "e2"])]
+    assert seen.value == len(rows)
