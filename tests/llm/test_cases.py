@@ -200,6 +200,22 @@ def test_slices_and_batches_are_small(spark):
     assert max(r["batch"] for r in rows) < 6 << 20 and max(r["slice"] for r in rows) < 5 << 20
 
 
+def test_arrays_are_made_of_small_slices(monkeypatch):
+    texts = pa.array([None, "", " ", "a b", *(" ".join(f"w{i}x{j}" for j in range(3000)) for i in range(200))])
+    seen, released, words = [], [], flat.words
+    monkeypatch.setattr(flat, "words", lambda data, *rest: seen.append(len(data)) or words(data, *rest))
+    monkeypatch.setattr(flat, "release", lambda: released.append(1))
+    values, bounds = jaccard_join.shingle_sets(texts)
+    one_by_one = [jaccard_join.shingle_sets(texts[i : i + 1])[0] for i in range(len(texts))]
+    assert (values == np.concatenate(one_by_one)).all() and np.diff(bounds).tolist() == list(map(len, one_by_one))
+    assert len(jaccard_join.shingle_sets(texts[:0])[0]) == 0
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    assert max(seen) <= 1 << 20 < batch.nbytes
+    parts = [part for part, _, _ in tokens.encoded([batch], public_tokenizers.path("byte_bpe_50k.json"), False, 1)]
+    assert sum(p.num_rows for p in parts) == len(texts) and max(len(flat.texts(p.column(0))[0]) for p in parts) <= 1 << 20
+    assert released == [1]
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, PATH, 1, packing.Limits(tokens=64, segments=3, loss_tokens=40)).toPandas()
     by = got.groupby("sequence_id")

@@ -26,7 +26,19 @@ STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of every text, ascending inside a text, and len+1 bounds."""
+    """Distinct 64-bit shingle hashes of every text, ascending inside a text, and len+1 bounds.
+
+    Texts are taken a few at a time, as each byte of them needs many bytes of arrays and each shingle only eight.
+    """
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    parts = [_sets_of(part.column(0)) for part in flat.slices(batch, "text", flat.SMALL_BYTES)]
+    if not parts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    sizes = np.concatenate([np.diff(bounds) for _, bounds in parts])
+    return np.concatenate([values for values, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat.texts(column)
     data = flat.LOWER[data]
     start, end, first = flat.words(data, offsets, flat.NOT_SPACE)

@@ -175,7 +175,7 @@ def train(docs: DataFrame, positives: DataFrame, learn: Column, id_col: str = "d
         x = features(column)
         return [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * width, pa.array(x.reshape(-1)))]
 
-    got = flat.appended(picked, text_col, [field], compute).select("_kind", id_col, "_x").toArrow().sort_by([(id_col, "ascending")])
+    got = flat.appended(picked, text_col, [field], compute, flat.SMALL_BYTES).select("_kind", id_col, "_x").toArrow().sort_by([(id_col, "ascending")])
     x = np.array(got.column("_x").combine_chunks().flatten()).reshape(-1, width)
     kind = np.array(got.column("_kind"))
     positive, unlabelled = x[kind == 1], x[kind == 0]
@@ -195,4 +195,4 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", threshol
         values = model.score(features(column)) if model else np.full(len(column), 0.5)
         return [pa.array(values), pa.array((values >= threshold).astype(np.int32))]
 
-    return flat.appended(docs, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute)
+    return flat.appended(docs, text_col, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, flat.SMALL_BYTES)

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from tracewell.llm import flat
 
-MOST_CACHED = 2_000_000
+MOST_CACHED = 500_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x0A]] = True
 GRAPH = np.zeros(256, bool)
@@ -204,7 +204,7 @@ def encoder(path: str, fold: bool = False) -> PieceEncoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, fold: bool, end_id: int, text: str = "text"):
     """Slices of the rows, each with all ids of its texts (``end_id`` after each text) and the texts' offsets."""
     encode = encoder(path, fold).encode
-    for part in flat.pieces(batches, text):
+    for part in flat.pieces(batches, text, flat.SMALL_BYTES):
         ids, offsets = encode(part.column(text))
         n = len(offsets) - 1
         whole = np.insert(ids, offsets[1:], np.uint32(end_id))
