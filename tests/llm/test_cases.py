@@ -214,6 +214,10 @@ def test_arrays_are_made_of_small_slices(monkeypatch):
     parts = [part for part, _, _ in tokens.encoded([batch], public_tokenizers.path("byte_bpe_50k.json"), False, 1)]
     assert sum(p.num_rows for p in parts) == len(texts) and max(len(flat.texts(p.column(0))[0]) for p in parts) <= 1 << 20
     assert released == [1]
+    few, many = (tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=n) for n in (2000, 2_000_000))
+    for i in range(0, 20, 2):
+        assert few.encode(texts[i : i + 2])[0].tolist() == many.encode(texts[i : i + 2])[0].tolist()
+    assert len(few.hashes) < len(many.hashes)
 
 
 def test_packing(docs, none):

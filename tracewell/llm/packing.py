@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracewell.llm import tokens
 
 POOL = 1024
+PIECES_CACHED = 500_000
 
 PIECES = pa.schema(
     [("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -138,7 +139,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         out: list[tuple] = []
-        for part, ids, offsets in tokens.encoded(batches, tokenizer, fold, end_id):
+        for part, ids, offsets in tokens.encoded(batches, tokenizer, fold, end_id, most=PIECES_CACHED):
             bounds = zip(part.column("row").to_pylist(), part.column("loss_from").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
             for row, first, a, b in bounds:
                 out.extend(packer.add(row, ids[a:b].copy(), np.arange(b - a) >= first))

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from tracewell.llm import flat
 
-MOST_CACHED = 500_000
+MOST_CACHED = 2_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x0A]] = True
 GRAPH = np.zeros(256, bool)
@@ -30,7 +30,7 @@ class PieceEncoder:
     characters of other blocks are left out, which only makes pieces longer. ``fold`` is for tokenizers that drop
     white space and case: the pieces then lose one leading space and their A-Z, so that more of them are equal.
     New pieces of ASCII letters go straight to the tokenizer's model, others through all its steps.
-    Known pieces are kept with their bytes, up to MOST_CACHED of them; then the memory starts anew. They are found by
+    Known pieces are kept with their bytes, up to ``most`` of them; then the memory starts anew. They are found by
     64-bit hash, and a piece gets the ids of a known one only if their bytes are equal.
 
     Strings of the tokenizer's special tokens are found first, as the library does by default, and are pieces with
@@ -38,7 +38,7 @@ class PieceEncoder:
     that are matched in any other way (words, stripped spaces, normalized or not special) gets whole texts.
     """
 
-    def __init__(self, path: str, fold: bool = False):
+    def __init__(self, path: str, fold: bool = False, most: int = MOST_CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,6 +51,7 @@ class PieceEncoder:
         # Special strings are taken out of the pieces, and what folding makes equal to one is ordinary text.
         self.tokenizer.encode_special_tokens = not self.whole
         self.fold = fold and not self.whole
+        self.most = most
         self._forget()
 
     def _forget(self) -> None:
@@ -138,7 +139,7 @@ class PieceEncoder:
         where = self._find(hashes)
         missed = np.flatnonzero(where < 0)
         if len(missed):
-            if len(self.hashes) + len(missed) > MOST_CACHED and len(self.hashes):
+            if len(self.hashes) + len(missed) > self.most and len(self.hashes):
                 self._forget()
                 missed = np.arange(len(hashes))
             own, example = np.unique(hashes[missed], return_index=True)
@@ -194,16 +195,16 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, fold: bool = False) -> PieceEncoder:
+def encoder(path: str, fold: bool = False, most: int = MOST_CACHED) -> PieceEncoder:
     """One encoder per worker process; its memory of pieces serves all tasks that the process runs."""
-    if (path, fold) not in _encoders:
-        _encoders[path, fold] = PieceEncoder(path, fold)
-    return _encoders[path, fold]
+    if (path, fold, most) not in _encoders:
+        _encoders[path, fold, most] = PieceEncoder(path, fold, most)
+    return _encoders[path, fold, most]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, fold: bool, end_id: int, text: str = "text"):
+def encoded(batches: Iterator[pa.RecordBatch], path: str, fold: bool, end_id: int, text: str = "text", most: int = MOST_CACHED):
     """Slices of the rows, each with all ids of its texts (``end_id`` after each text) and the texts' offsets."""
-    encode = encoder(path, fold).encode
+    encode = encoder(path, fold, most).encode
     for part in flat.pieces(batches, text, flat.SMALL_BYTES):
         ids, offsets = encode(part.column(text))
         n = len(offsets) - 1
