@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import scale
 from tracewell.operators import results
 from tracewell.plans import audit_queries, evaluation_queries
+from tracewell.sources.artifacts import extract, route_artifacts
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +74,10 @@ def test_an_answer_is_written_as_text_and_searched_once(spark):
     got = {r.case_id: (r.cited, r.misshapen) for r in parsed.collect()}
     everything = ["sql_explanations", "source_target_interpretation", "dependency_summary"]
     assert got == {"a": (["ev-1", "ev-2", "(nested list)"], everything), "b": (None, everything), "c": (None, everything)}
+
+
+def test_each_leaf_of_a_definition_is_cleaned_once(spark):
+    files = spark.createDataFrame([("/a.ktr", "<transformation/>", "")], "path string, content string, source_sha256 string")
+    plan = planned(extract(route_artifacts(files)), "analyzed")
+    # One for each text leaf of the four formats, and one each for the types of JSON values; 112 and 14 with repeats.
+    assert plan.count("btrim(") <= 66 and plan.count("schema_of_variant(") <= 9
